@@ -81,6 +81,8 @@ SHOWN = frozenset(c for t in TO_BYTE.values() for c in t)
 ODD = "".join(sorted({c for t in TO_BYTE.values() for c, b in t.items() if 0x80 <= b and c not in PLAIN} | {"ƣ", "Ƣ", "�"} | (set(TCVN3_FROM) - PLAIN) | {c for k in VNI for c in k if c not in PLAIN}))
 WORDS = re.compile(r"[^ \t\n\r]+")
 LOST = re.compile(r"[^\W\d_]*(?:\?+[^\W\d_]+)+\?*")
+#: Marks that may follow or enclose a word; brackets and exclamation marks are left, as scanning makes them of letters.
+LIGHT = ".,;:?\"“”"
 EDGE = " \t\n\r.,;:!?()[]\"'“”‘’-–"
 
 
@@ -93,7 +95,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             words: Counter = Counter()
             for w, n in total.items():
-                w = w.strip(EDGE).lower()
+                w = w.strip(LIGHT).lower()
                 if w and VIETNAMESE.issuperset(w) | (w.isascii() and w.isalpha()) or (w.isalpha() and all(c in PLAIN for c in w)):
                     words[w] += n
             total.clear()

@@ -27,8 +27,8 @@ from lexicrux.staging import bounded, stage
 SAMPLE = 32_768
 LEAF = 256
 FANOUT = 16
-CALIBRATE = 1024
-RECALL = 0.995
+CALIBRATE = 2048
+RECALL = 0.999
 BLOCK = 4096
 MOST_DIMS = 64
 
