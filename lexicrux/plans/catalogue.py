@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from lexicrux.operators import segment
+
+QUERIES: dict = {**segment.QUERIES}
 SQL: dict[str, str] = {}
