@@ -265,7 +265,9 @@ class Decoder:
             w = text[a:b]
             row = [w]
             for t in tables:
-                row.append("".join(TCVN3.get(c, c) for c in w) if t == "tcvn3" else VNI_RE.sub(lambda m: VNI[m[0]], w))
+                x = "".join(TCVN3.get(c, c) for c in w) if t == "tcvn3" else VNI_RE.sub(lambda m: VNI[m[0]], w)
+                # the font's capitals share the small letters' codes
+                row.append(x.upper() if sum(c.isupper() for c in x) * 2 >= sum(c.isalpha() for c in x) > 1 else x)
             odd = any(c not in PLAIN for c in w)
             emit = [-(self.probability(x) or (-18.0 if odd and i == 0 else -14.0)) for i, x in enumerate(row)]
             step, new = [], []
