@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexicrux.operators import segment
+from lexicrux.plans import texts
 
-QUERIES: dict = {**segment.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES: dict = {**texts.QUERIES, **segment.QUERIES}
+SQL: dict[str, str] = {**texts.SQL}
