@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexicrux.operators import segment
-from lexicrux.plans import texts
+from lexicrux.plans import spans, texts
 
-QUERIES: dict = {**texts.QUERIES, **segment.QUERIES}
-SQL: dict[str, str] = {**texts.SQL}
+QUERIES: dict = {**texts.QUERIES, **spans.QUERIES, **segment.QUERIES}
+SQL: dict[str, str] = {**texts.SQL, **spans.SQL}
