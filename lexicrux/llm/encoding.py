@@ -198,26 +198,37 @@ class Decoder:
             return (filled, True) if filled else None
         return "".join(out), False
 
+    def _from_bytes(self, word: str) -> tuple[str, str, float, bool] | None:
+        """The likeliest byte channel: (channel, text, log probability, whether bytes were lost)."""
+        best = None
+        for codec in CODECS:
+            if (got := self.from_bytes(word, codec)) is None:  # read wrongly twice
+                if (once := self.from_bytes(word, codec, True)) is not None and once[0] != word:
+                    got = next((x for again in CODECS if (x := self.from_bytes(once[0], again)) is not None), None)
+            elif not got[1]:  # valid text may be the output of a first wrong reading as well
+                got = next(((x[0], False) for again in CODECS if (x := self.from_bytes(got[0], again)) is not None), got)
+            if got is not None:
+                p = (self.probability(got[0]) or -16.0) - 2 * got[1]
+                if best is None or p > best[2]:
+                    best = ("utf-8/" + codec, got[0], p, got[1])
+        return best
+
     def _word(self, word: str) -> tuple[str, str, float] | None:
         """(channel, text, log probability) of a damaged word; None if no channel explains it."""
-        best = None
-        whole, word = word, word.rstrip("\xad¬")  # what breaks a word at a line's end
+        # soft hyphen and ¬ are bytes of letters, but also what breaks a word at a line's end
+        best, whole, word = None, word, word.rstrip("\xad¬")
         tail = whole[len(word) :]
+        if tail and ODD_RE.search(word) and (best := self._from_bytes(whole)) is not None and best[3]:
+            best = None
+        if best is not None:
+            return best[:3]
         odd = ODD_RE.search(word)
         if "ƣ" in word or "Ƣ" in word:
             text = word.replace("ƣ", "ư").replace("Ƣ", "Ư")
             best = ("oi", text, self.probability(text) or -16.0)
         if odd:
-            for codec in CODECS:
-                if (got := self.from_bytes(word, codec)) is None:  # read wrongly twice
-                    if (once := self.from_bytes(word, codec, True)) is not None and once[0] != word:
-                        got = next((x for again in CODECS if (x := self.from_bytes(once[0], again)) is not None), None)
-                elif not got[1]:  # valid text may be the output of a first wrong reading as well
-                    got = next(((x[0], False) for again in CODECS if (x := self.from_bytes(got[0], again)) is not None), got)
-                if got is not None:
-                    p = (self.probability(got[0]) or -16.0) - 2 * got[1]
-                    if best is None or p > best[2]:
-                        best = ("utf-8/" + codec, got[0], p)
+            if (got := self._from_bytes(word)) is not None and (best is None or got[2] > best[2]):
+                best = got[:3]
             if best is None:
                 core = word.strip(EDGE)
                 body = core
