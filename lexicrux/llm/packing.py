@@ -1,8 +1,8 @@
 """Problem 8: items packed into containers of fixed capacity.
 
 Bounded-space online packing: every partition keeps at most OPEN windows; an item goes into the fullest window that still
-has room for it; when none has, the fullest window is emitted and a new one opened. Windows still open at a partition's
-end are merged as items of their own, FAN partitions at a time, until one task holds what is left of FAN tasks.
+has room for it; when none has, the fullest window is emitted and a new one opened. What is left in windows that are not
+full at a partition's end is packed once more, largest first, for FAN partitions at a time.
 
 Defined results: null and empty texts have size 0 and take a place in a container like others; rows repeated are packed
 each; an item above the capacity is cut into full containers and a rest that is packed like an item; no item at or under
@@ -23,14 +23,16 @@ from lexicrux.staging import stage
 
 OPEN = 64
 FAN = 64
+#: A window is full enough to stay as it is from this share of the capacity on.
+FULL = 0.97
 CAPACITY = 2048
 
 
 class Windows:
     """Open windows sorted by what is used of them."""
 
-    def __init__(self, capacity: int, name: str, most: int = OPEN):
-        self.capacity, self.name, self.most, self.open, self.made = capacity, name, most, [], 0
+    def __init__(self, capacity: int, most: int = OPEN):
+        self.capacity, self.most, self.open, self.made = capacity, most, [], 0
 
     def place(self, size: int) -> int:
         i = bisect_left(self.open, (self.capacity - size + 1, -1)) - 1
@@ -54,7 +56,7 @@ def pack(items: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> Dat
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        w = Windows(capacity, "")
+        w = Windows(capacity)
         for batch in batches:
             size = counts(batch.column(1))
             pieces = np.maximum(1, -(-size // capacity))
@@ -70,22 +72,25 @@ def pack(items: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> Dat
     placed = stage(
         items.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(online, f"key {kind}, piece_no INT, pieces INT, first_token BIGINT, tokens BIGINT, part INT, bin BIGINT")
     )
-    # what the windows that never filled up hold; at most OPEN a partition were open at its end, the fuller ones are left as they are
-    fill = placed.groupBy("part", "bin").agg(F.sum("tokens").alias("tokens")).where(F.col("tokens") < capacity // 2)
-    moved = fill.select("part", "bin", "tokens", F.floor(F.col("part") / FAN).alias("grp"))
+    # what windows hold that never filled up (the OPEN ones of each partition's end, and few others) is packed once more
+    low = placed.groupBy("part", "bin").agg(F.sum("tokens").alias("used")).where(F.col("used") < FULL * capacity).select("part", "bin")
+    name = F.format_string("p%d-%d", "part", "bin").alias("container")
+    columns = ["key", "piece_no", "pieces", "first_token", "tokens"]
+    stay = placed.join(low, ["part", "bin"], "left_anti").select(*columns, name)
+    again = placed.join(low, ["part", "bin"], "left_semi").select(*columns, F.floor(F.col("part") / FAN).alias("grp"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (3, 2, 0, 1))))
-        open_by: dict[int, Windows] = {}
-        out = [(p, b, g, open_by.setdefault(g, Windows(capacity, "", 1 << 30)).place(t)) for g, t, p, b in reversed(rows)]
-        cols = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["part", "bin", "grp", "into"])
-
-    merged = moved.repartition(F.col("grp")).mapInArrow(merge, "part INT, bin BIGINT, grp BIGINT, into BIGINT")
-    return placed.join(merged, ["part", "bin"], "left").select(
-        F.col("key").alias(key), "piece_no", "pieces", "first_token", "tokens",
-        F.when(F.col("into").isNull(), F.format_string("p%d-%d", "part", "bin")).otherwise(F.format_string("m%d-%d", "grp", "into")).alias("container"),
-    )
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts)
+        rows = rows.sort_by([("tokens", "descending"), ("key", "ascending"), ("piece_no", "ascending")])
+        by: dict[int, Windows] = {}
+        bins = [f"m{g}-{by.setdefault(g, Windows(capacity, 1 << 30)).place(t)}" for g, t in zip(rows.column("grp").to_pylist(), rows.column("tokens").to_pylist())]
+        yield from rows.drop_columns(["grp"]).append_column("container", pa.array(bins, pa.string())).to_batches()
+
+    merged = again.repartition(F.col("grp")).mapInArrow(merge, f"key {kind}, piece_no INT, pieces INT, first_token BIGINT, tokens BIGINT, container STRING")
+    return stay.unionByName(merged).withColumnRenamed("key", key)
 
 
 def p8_assigned(spark, d: str) -> DataFrame:
