@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: the vowels of Vietnamese with their tones, and đ
 VOWELS = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ"
@@ -25,7 +26,7 @@ FOLD_FROM = VOWELS + VOWELS.upper()
 FOLD_TO = "".join(_bare(c) for c in FOLD_FROM)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 WINDOW, STRIDE = 200, 150
@@ -15,7 +16,7 @@ WINDOW, STRIDE = 200, 150
 BREAKS = (".", ";", ":", "?", "!")
 
 
-@F.pandas_udf("array<struct<token:string,start:int,end:int>>")
+@F.pandas_udf(ArrayType(StructType([StructField("token", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))
 def tokens_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(lambda t: [{"token": m[0], "start": m.start(), "end": m.end()} for m in TOKEN.finditer(t or "")])

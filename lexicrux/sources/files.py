@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lexicrux.functions.text import iso_date
 
@@ -40,7 +41,7 @@ def text_or_null(text: Column, least: int = LEAST_PDF_TEXT) -> Column:
     return F.when(F.length(F.regexp_replace(text, r"\s+", "")) >= least, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def docx_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text of an OOXML document, a line per paragraph or table row; null for what is none."""
 
@@ -104,7 +105,7 @@ def reading_order(boxes: DataFrame, key: list[str], top: str, left: str, text: s
     return boxes.where(F.trim(text) != "").groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda b: b["t"]), "\n").alias("text"))
 
 
-@F.pandas_udf("array<struct<type:string,page:int,text:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("type", StringType()), StructField("page", IntegerType()), StructField("text", StringType())])))
 def structured_blocks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text-bearing nodes of a structured PDF's JSON tree, depth first in array order, list items before children."""
     import json
