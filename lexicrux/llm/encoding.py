@@ -247,7 +247,7 @@ class Decoder:
     def evidence(self, text: str) -> list[tuple[int, int, str, str]]:
         """(first, end, channel, restored) of the words that only a channel explains."""
         out = []
-        if ODD_RE.search(text):
+        if ODD_ONLY.search(text) or LED_ONLY.search(text):
             for m in ODD_WORD.finditer(text):
                 if (got := self.known(m[0])) is not None:
                     out.append((m.start(), m.end(), got[0], got[1]))
@@ -315,11 +315,9 @@ ANY = frozenset()
 ODD_CLASS = "[" + re.escape(ODD) + "]"
 # a letter that leads two or three bytes, before a sign that stands for a later byte, though both are at home in the text
 LED = "[ÃÂĂ][‘’“”–—…•]"
+ODD_ONLY, LED_ONLY = re.compile(ODD_CLASS), re.compile(LED)
 ODD_RE = re.compile(f"{ODD_CLASS}|{LED}")
 ODD_WORD = re.compile(rf"[^ \t\n\r]*(?:{ODD_CLASS}|{LED})[^ \t\n\r]*")
-# for the JVM: a text without any of these can't be damaged; signs of misread or broken lines alone are let through there
-ODD_JAVA = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in ODD if c not in "†‐¬\xad©²°×•") + r"]|\p{L}\?+\p{L}|[\xad\xac][^\n]"
-
 
 def _again(log: dict[str, float]) -> Decoder:
     d = Decoder({})
@@ -359,7 +357,7 @@ def damaged(texts: DataFrame, restore: bool = False) -> DataFrame:
                 ["tbl", "k", "words", "channels", "restored"],
             )
 
-    return texts.where(F.col("t").rlike(ODD_JAVA)).mapInArrow(run, "tbl STRING, k BIGINT, words INT, channels ARRAY<STRING>, restored STRING")
+    return texts.mapInArrow(run, "tbl STRING, k BIGINT, words INT, channels ARRAY<STRING>, restored STRING")
 
 
 def p4_found(spark, d: str) -> DataFrame:
