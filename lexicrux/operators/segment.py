@@ -109,8 +109,9 @@ class Sketch:
         return float(min(self.table[0, i], self.table[1, j]))
 
 
-def features(group: str, value: str) -> tuple[str, str, str, int]:
-    words = template(value).split(" ")
+def features(group: str, masked: str) -> tuple[str, str, str, int]:
+    """Keys of a template, its first and its last word, and the number of its words."""
+    words = masked.split(" ")
     return f"t\0{group}\0" + " ".join(words), f"a\0{group}\0{words[0]}", f"z\0{group}\0{words[-1]}", len(words)
 
 
@@ -118,47 +119,50 @@ class Model:
     def __init__(self, sketch: Sketch):
         self.sketch, self.cache = sketch, {}
 
-    def cost(self, group: str, value: str) -> float:
-        known = self.cache.get((group, value))
+    def cost(self, group: str, masked: str, inside: int) -> float:
+        """Negative log probability of a value by its template and the number of delimiters inside it."""
+        known = self.cache.get((group, masked))
         if known is None:
-            t, a, z, n = features(group, value)
+            t, a, z, n = features(group, masked)
             get = self.sketch.get
             total = get(f"n\0{group}") + 1.0
             whole = get(t) / total
-            new = (get(a) + 0.01) / total * (get(z) + 0.01) / total * math.exp(-WORD * n - INSIDE * len(RUN.findall(t)))
+            new = (get(a) + 0.01) / total * (get(z) + 0.01) / total * math.exp(-WORD * n - INSIDE * inside)
             known = SPLIT - math.log((1 - NEW) * whole + NEW * new + 1e-30)
             if len(self.cache) > 200_000:
                 self.cache.clear()
-            self.cache[group, value] = known
+            self.cache[group, masked] = known
         return known
 
     def edges(self, group: str, atoms: list[tuple[str, str]], longest: int) -> list[list[tuple[int, float, str]]]:
-        """For each end the values (start, cost, text) that stop there."""
+        """For each end the values (start, cost, template) that stop there; each atom is masked once."""
         n = len(atoms)
+        masked = [(template(a), MASKS[3][0].sub(" ", d)) for a, d in atoms]
         back: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
         for i in range(n):
             text = ""
             for j in range(i, min(n, i + longest)):
-                text += atoms[j][0]
-                back[j + 1].append((i, self.cost(group, text.strip()), text.strip()))
-                text += atoms[j][1]
+                text += masked[j][0]
+                back[j + 1].append((i, self.cost(group, text, j - i), text))
+                text += masked[j][1]
         return back
 
     def best(self, group: str, atoms: list[tuple[str, str]], longest: int) -> list[str]:
         back = self.edges(group, atoms, longest)
-        least, come = [0.0] + [math.inf] * len(atoms), [(0, "")] * (len(atoms) + 1)
+        least, come = [0.0] + [math.inf] * len(atoms), [0] * (len(atoms) + 1)
         for j in range(1, len(atoms) + 1):
-            for i, c, text in back[j]:
+            for i, c, _ in back[j]:
                 if least[i] + c < least[j]:
-                    least[j], come[j] = least[i] + c, (i, text)
+                    least[j], come[j] = least[i] + c, i
         out, j = [], len(atoms)
         while j:
-            j, text = come[j]
-            out.append(text)
-        return out[::-1]
+            i = come[j]
+            out.append("".join(a + d for a, d in atoms[i : j - 1]) + atoms[j - 1][0])
+            j = i
+        return [x.strip() for x in reversed(out)]
 
     def expected(self, group: str, atoms: list[tuple[str, str]], longest: int) -> list[tuple[str, float]]:
-        """Values of the lattice with the probability that they are part of the way (forward-backward)."""
+        """Templates of the lattice with the probability that they are part of the way (forward-backward)."""
         back, n = self.edges(group, atoms, longest), len(atoms)
         ahead = [0.0] + [-math.inf] * n
         for j in range(1, n + 1):
@@ -199,8 +203,8 @@ def _counted(fields: DataFrame, what, broadcast) -> np.ndarray:
     return table.reshape(2, BUCKETS)
 
 
-def _count(group: str, value: str, weight: float) -> list[tuple[str, float]]:
-    t, a, z, _ = features(group, value)
+def _count(group: str, masked: str, weight: float) -> list[tuple[str, float]]:
+    t, a, z, _ = features(group, masked)
     return [(t, weight), (a, weight), (z, weight), (f"n\0{group}", weight)]
 
 
@@ -208,7 +212,7 @@ def _certain(_, group: str, text: str) -> list[tuple[str, float]]:
     out = []
     for kind, atoms in parts(text):
         if kind == "value" or len(atoms) == 1:
-            out += _count(group, atoms[0][0].strip(), 1.0)
+            out += _count(group, template(atoms[0][0].strip()), 1.0)
     return out
 
 
@@ -217,8 +221,8 @@ def _expected(state, group: str, text: str) -> list[tuple[str, float]]:
     out = []
     for kind, atoms in parts(text):
         if kind == "lattice" and len(atoms) > 1:
-            for value, p in model.expected(group, atoms, longest):
-                out += _count(group, value, p)
+            for masked, p in model.expected(group, atoms, longest):
+                out += _count(group, masked, p)
     return out
 
 
