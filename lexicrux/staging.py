@@ -12,19 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 KEY = "spark.checkpoint.dir"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by the cluster in spark.checkpoint.dir.
 
-    Only where the setting is missing (tests in local mode) a temporary folder is set in its place."""
+    Only where the setting is missing, in local mode (tests), a temporary folder of this process takes its place."""
     there = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if there:
         return there.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError(f"{KEY} must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="lexicrux-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set(KEY, f"file://{own}")
-    return f"file://{own}"
+    if sc.applicationId not in _OWN:
+        own = tempfile.mkdtemp(prefix="lexicrux-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[sc.applicationId] = f"file://{own}"
+    return _OWN[sc.applicationId]
 
 
 def stage(df: DataFrame) -> DataFrame:
