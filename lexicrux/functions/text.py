@@ -38,14 +38,16 @@ def nfc(c: Column) -> Column:
 
 
 def legacy_fixed(c: Column) -> Column:
-    return F.translate(c, LEGACY_FROM, LEGACY_TO)
+    return F.when(c.rlike(f"[{LEGACY_FROM}]"), F.translate(c, LEGACY_FROM, LEGACY_TO)).otherwise(c)
+
+
+MARKS = "[\u0323\u0300\u0301\u0303\u0309]"
 
 
 def marks_attached(c: Column) -> Column:
-    """Tone marks that stand behind blanks go back to their letter; a second pass takes marks that then follow one."""
-    for _ in range(2):
-        c = F.regexp_replace(c, "([\\p{L}\\p{N}_])[  ]+([̣̀́̃̉])", "$1$2")
-    return c
+    """Tone marks that stand behind blanks go back to their letter. Blanks are matched, not letters, so that a text without
+    such marks is passed over quickly; a mark that gets its letter is no letter itself, so one pass is enough."""
+    return F.when(c.rlike(MARKS), F.regexp_replace(c, rf"(?<=[\p{{L}}\p{{N}}_])[ \u00a0]+(?={MARKS})", "")).otherwise(c)
 
 
 def _strip(c: Column) -> Column:

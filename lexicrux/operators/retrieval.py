@@ -54,7 +54,9 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     if not terms:
         return docs.select(key).limit(0).withColumn("score", F.lit(0.0))
     count = lambda ws: F.struct(F.size(ws).alias("len"), F.array(*(F.size(F.array_remove(ws, x)) for x in terms)).alias("rest"))
-    tf = docs.select(key, let(T.words(F.coalesce(text, F.lit(""))), count).alias("c")).select(key, F.col("c.len").alias("len"), *((F.col("c.len") - F.col("c.rest")[i]).alias(f"tf{i}") for i in range(len(terms))))
+    # a generator keeps the counts in one place: a plain projection would be computed anew for every term that names it
+    one = docs.select(key, F.explode(F.array(let(T.words(F.coalesce(text, F.lit(""))), count))).alias("c"))
+    tf = one.select(key, F.col("c.len").alias("len"), *((F.col("c.len") - F.col("c.rest")[i]).alias(f"tf{i}") for i in range(len(terms))))
     s = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
