@@ -1,10 +1,12 @@
 """Problem 5: traces of page and line in texts of scanned pages, found and repaired.
 
 An averaged-perceptron editor decides at every doubtful character: keep, replace by a letter, delete, insert a space, or join
-the lines. Doubtful are digits and marks among letters, break marks at line ends, and line ends themselves. A second averaged
+the lines. Doubtful are digits and marks among letters, break marks at line ends, line ends themselves, and places inside an
+unknown word at which two known words meet. Only replaced characters count as misread. A second averaged
 perceptron decides which lines are page furniture, from their form and from where they stand (place in the text, repetition
 of their form, how the neighbouring lines go on). Both are trained on a bounded sample (SAMPLE texts, least by hash): known
-words and lines of the sample, damaged by the noise model below, against the sample's own words, codes, amounts and lines.
+words and lines of the sample, damaged by the noise model below (letters misread, marks strewn in, blanks lost, words and
+paragraphs broken), against the sample's own words, codes, amounts and lines.
 Word frequencies are counted over both whole tables.
 
 Defined results: null and empty texts have no row; texts decoded wrongly (problem 4) have none; rows repeated are judged
@@ -12,8 +14,10 @@ each; a text of one line can be `misread` only. In an empty table nothing is tra
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -42,6 +46,8 @@ CASE = re.compile(r"[\dOoIl|]{1,4}/[\dOoIl|]{4}/\S+")
 NUMBERED = re.compile(r"\d|(?<!\w)[OIl|]+(?!\w)")
 NOT_LETTERS, NOT_DIGITS = re.compile(r"[\W\d_]+"), re.compile(r"\D+")
 SENTENCE_END = (".", ";", ":", "?", "!", "…")
+VOWEL = re.compile("[" + "".join(c for c in LETTERS if c != "đ") + "]", re.I)
+WIDE = 130
 
 
 class Perceptron:
@@ -82,6 +88,11 @@ class Perceptron:
         self.w = mean
         return self
 
+    def also(self, examples: list[tuple[list[str], list[str], str]]) -> "Perceptron":
+        """Fitted to further examples, none of whose features is known yet."""
+        self.w |= Perceptron().fit(examples).w
+        return self
+
 
 def damaged(word: str, rng: random.Random) -> tuple[str, int, str, str]:
     """A word with one letter misread: (written, place, what stands there, operation)."""
@@ -94,12 +105,27 @@ def damaged(word: str, rng: random.Random) -> tuple[str, int, str, str]:
     return word[:i] + sign + word[i + 1 :], i, sign, "put:" + low
 
 
+def narrowed(line: str, width: int) -> list[str]:
+    """The line in rows of at most so many characters."""
+    row, out = "", []
+    for w in line.split(" "):
+        if row and len(row) + 1 + len(w) > width:
+            out.append(row)
+            row = w
+        else:
+            row = f"{row} {w}" if row else w
+    return [*out, row]
+
+
 class Editor:
     def __init__(self, decoder: Decoder, texts: list[str]):
         self.decoder, self.log = decoder, decoder.log
         rng = random.Random(11)
         clean = [t for t in texts if not decoder.evidence(t)]
-        self.chars = Perceptron().fit(self._char_examples(clean, rng)) if clean else None
+        own = random.Random(5)
+        chars = self._char_examples(clean, rng) if clean else []
+        # one table of weights; the kinds of places share no feature, so that each is averaged over its own examples
+        self.chars = Perceptron().fit(chars + self._stray_examples(own)).also(self._gap_examples(own)).also(self._break_examples(clean, own)).also(self._end_examples(clean, own)) if clean else None
         self.lines = Perceptron().fit(self._line_examples(clean, rng)) if clean else None
         self.seen: dict[str, int] = {}
 
@@ -126,6 +152,9 @@ class Editor:
             options.append("tone")
             if self.known((low[: i - 1] + next(k for k, v in TONED.items() if v == before + c) + low[i + 1 :]).strip(EDGE)):
                 best = (0.0, "tone")
+        stray = c in MARKS and before.isalpha() and after.isalpha() and self.known((low[:i] + low[i + 1 :]).strip(EDGE))
+        if stray:
+            options.append("delete")
         digits = sum(x.isdigit() for x in core)
         f = [
             f"c={c}", f"b={before}", f"a={after}", f"bc={before}{c}", f"ca={c}{after}",
@@ -135,6 +164,8 @@ class Editor:
         ]
         if best:
             f.append(f"{c}>{best[1]}")
+        if stray:
+            f += [f"stray={best is not None}", f"stray={c},{best is not None}"]
         return f, options
 
     def _char_examples(self, texts: list[str], rng: random.Random) -> list:
@@ -170,25 +201,82 @@ class Editor:
                 out.append((f, options, "keep"))
         return out
 
-    def edit_token(self, token: str) -> str:
-        """The token with misread characters replaced."""
-        at = 0
+    def words(self) -> list[str]:
+        """The most frequent words of two letters or more with a vowel."""
+        return sorted((w for w in self.log if len(w) > 1 and VOWEL.search(w)), key=lambda w: (-self.log[w], w))[:2000]
+
+    @staticmethod
+    def shown(word: str, rng: random.Random) -> str:
+        return word if rng.random() < 0.7 else word.capitalize() if rng.random() < 0.6 else word.upper()
+
+    def _stray_examples(self, rng: random.Random) -> list:
+        """Words with a mark strewn in; few, as most marks stand for a letter."""
+        out = []
+        for w in self.words()[:400]:
+            i = rng.randint(1, len(w) - 1)
+            f, options = self.char_features(w[:i] + rng.choice(MARKS) + w[i:], i)
+            if "delete" in options and "isknown=False,False" in f:
+                out.append((f, options, "delete"))
+        return out
+
+    def _rank(self, word: str) -> int:
+        """How rare a word is: 0 to 8, 9 for an unknown one."""
+        return 9 if (p := self.log.get(word.lower())) is None else min(8, int(-p))
+
+    def gap_features(self, word: str, i: int) -> list[str]:
+        """Features of a place in an unknown word at which a blank may be lost."""
+        left, right = word[:i], word[i:]
+        a, b = self._rank(left), self._rank(right)
+        vowels = f"{VOWEL.search(left) is not None},{VOWEL.search(right) is not None}"
+        return [f"g:vowels={vowels}", f"g:rare={max(a, b)},{vowels}", f"g:left={a}", f"g:right={b}", f"g:size={min(len(left), 4)},{min(len(right), 4)}", f"g:case={left[-1].islower()},{right[0].isupper()}", f"g:onset={VOWEL.match(right) is not None},{VOWEL.match(left[-1]) is not None}"]
+
+    def gaps(self, word: str) -> list[int]:
+        return [i for i in range(2, len(word) - 1) if self.known(word[:i]) and self.known(word[i:])]
+
+    def _gap_examples(self, rng: random.Random) -> list:
+        words, out = self.words(), []
+        for w in words:  # each word, and what a break leaves of it, as if it weren't known
+            out += [(self.gap_features(x, i), ["keep", "insert"], "keep") for x in (w, w, w[1:], w[2:], w[2:]) for i in range(2, len(x) - 1) if x == w or self._rank(x[:i]) < 9]
+        often = [math.exp(self.log[w]) for w in words]
+        for _ in range(len(words) and 2000):
+            a, b = rng.choices(words, often, k=2)
+            out += [(self.gap_features(a + b, i), ["keep", "insert"], "insert" if i == len(a) else "keep") for i in self.gaps(a + b) if not self.known(a + b)]
+        return out
+
+    def parted(self, token: str) -> str:
+        """The token with a lost blank put back between two known words."""
+        core = token.strip(EDGE)
+        if len(core) < 4 or not core.isalpha() or self.known(core):
+            return token
+        at = next((i for i in self.gaps(core) if self.chars.best(self.gap_features(core, i), ["keep", "insert"]) == "insert"), 0)
+        return token.replace(core, f"{core[:at]} {core[at:]}", 1) if at else token
+
+    def edited(self, token: str) -> tuple[str, int]:
+        """The token with its doubtful characters decided, and how many of them stood for a letter."""
+        at = n = 0
         for _ in range(len(token)):
             if (m := DOUBT.search(token, at)) is None:
-                return token
+                break
             i = m.start()
             f, options = self.char_features(token, i)
             op = self.chars.best(f, options) if len(options) > 1 else "keep"
             upper = sum(c.isupper() for c in token) * 2 > sum(c.isalpha() for c in token)
+            n += op not in ("keep", "delete")
             if op == "tone":
                 letter = next(k for k, v in TONED.items() if v == token[i - 1].lower() + token[i])
                 token = token[: i - 1] + (letter.upper() if token[i - 1].isupper() else letter) + token[i + 1 :]
+            elif op == "delete":
+                token = token[:i] + token[i + 1 :]
             elif op != "keep":
                 token = token[:i] + (op[4:].upper() if upper else op[4:]) + token[i + 1 :]
                 at = i + 1
             else:
                 at = i + 1
-        return token
+        return token, n
+
+    def edit_token(self, token: str) -> str:
+        """The token with misread characters replaced, stray marks deleted and a lost blank inserted."""
+        return self.parted(self.edited(token)[0] if DOUBT.search(token) else token)
 
     def misread(self, text: str) -> int:
         """Words in which a digit or mark stands where a letter belongs."""
@@ -197,25 +285,106 @@ class Editor:
             seen.clear()
         for tok in text.split():
             if (v := seen.get(tok)) is None:
-                v = seen[tok] = int(not tok.isalpha() and DOUBT.search(tok) is not None and self.edit_token(tok) != tok)
+                v = seen[tok] = int(not tok.isalpha() and DOUBT.search(tok) is not None and self.edited(tok)[1] > 0)
             n += v
         return n
 
-    def joins(self, m: re.Match, text: str) -> bool:
-        """Whether a break mark at a line's end broke a word (line-join), or belongs there (keep)."""
+    # breaks and line ends ------------------------------------------------------------------------------------------------
+
+    def break_features(self, m: re.Match, text: str, hidden: bool = False, counted: bool = False) -> list[str]:
+        """Features of a break mark at a line's end. hidden: the whole word counts as unknown; counted: its halves as known, as
+        what stands broken in the tables is among the words counted."""
         left, space, mark, right = m.groups()
-        if space:
-            return False
         start = text.rfind(" ", 0, m.start()) + 1
-        head = text[start : m.start()].rsplit("\n", 1)[-1]
-        if sum(c.isdigit() for c in head) > 1 or "/" in head or "-" in head or not any(c.isalpha() for c in left + right):  # a code's own hyphen
-            return False
-        if mark != "-":
-            return True
-        whole = self.known(left + right)
-        if left.isupper() != right.isupper() and not (len(left) == 1 or (left[:1].isupper() and right.islower())):
-            return whole
-        return whole or not (self.known(left) and self.known(right))
+        head = text[start : m.start()].rsplit("\n", 1)[-1] + left
+        code = sum(c.isdigit() for c in head) > 1 or "/" in head or "-" in head
+        letters = any(c.isalpha() for c in left + right)
+        plain = left.isalpha() and right.isalpha()
+        a, b, whole = self._rank(left), self._rank(right), not hidden and self.known(left + right)
+        if counted:
+            a, b = min(a, 8), min(b, 8)
+        kind = f"{'own' if mark == '-' else 'soft'},{bool(space)},{code},{letters}"
+        case = "same" if left.isupper() == right.isupper() or (len(left) == 1 and left.isupper()) else "title" if left[:1].isupper() and right.islower() else "mixed"
+        starts = "lower" if right[:1].islower() else "upper" if right[:1].isupper() else "sign"
+        syllable = f"{VOWEL.search(left) is not None},{VOWEL.search(right) is not None}"
+        return [
+            f"j:kind={kind}", f"j:kind={kind},{whole}", f"j:kind={kind},{syllable}", f"j:known={a < 9},{b < 9},{whole},{plain}", f"j:own={mark == '-'},{a < 9},{b < 9},{whole},{plain}", f"j:both={a < 9 and b < 9},{whole},{syllable}",
+            f"j:rare={max(a, b)},{whole},{syllable}", f"j:left={a},{whole}", f"j:right={b},{whole}", f"j:case={case},{whole}", f"j:starts={starts},{left.isupper()},{left[:1].isupper()}", f"j:code={code}", f"j:space={bool(space)}", f"j:onset={VOWEL.match(right) is not None},{VOWEL.match(left[-1]) is not None},{whole}",
+        ]
+
+    def _break_examples(self, texts: list[str], rng: random.Random) -> list:
+        out, words = [], self.words()
+
+        def add(text: str, op: str, hidden: bool = False, counted: bool = False) -> None:
+            if (m := next((m for m in AT_END.finditer(text)), None)) is not None:
+                out.append((self.break_features(m, text, hidden, counted), ["keep", "join"], op))
+
+        for w in words:  # words broken by the noise model
+            for mark in "--" + BREAKS:
+                x = self.shown(w, rng)
+                if rng.random() < 0.15 and any(c in CONFUSIONS or c in TONED for c in w):
+                    x = damaged(x, rng)[0]
+                i = rng.randint(1, len(x) - 1)
+                add(f"{rng.choice(words)} {x[:i]}{mark}\n{' ' * (rng.random() < 0.2)}{x[i:]}", "join", rng.random() < 0.3, rng.random() < 0.3)
+        for _ in range(len(words) and 1500):  # hyphens and dashes that belong there
+            a, b = (self.shown(rng.choice(words), rng) for _ in range(2))
+            if not self.known(a + b):
+                add(f"x {a}-\n{b}", "keep")
+            add(f"x {a} {rng.choice('--‐')}\n{b[: rng.randint(1, len(b))]}", "keep")
+            code = "".join(rng.choice(string.ascii_uppercase) for _ in range(4))
+            add(f"x {rng.randint(1, 9999)}/{rng.randint(1990, 2030)}/{code[:2]}{rng.choice(BREAKS)}\n{code[2:]} {b}", "keep")
+            add(f"\n- {rng.randint(1, 40)} -\n{b.capitalize()}", "keep")
+            add(f"x {rng.randint(1, 99)}-\n{rng.choice((b, str(rng.randint(1, 99))))}", "keep")
+        for t in texts:  # codes broken at their own hyphens, and dashes of the sample
+            for m in list(CASE.finditer(t))[:4]:
+                for h in [h.start() for h in re.finditer("-", m[0])]:
+                    for mark in BREAKS:
+                        add(f"x {m[0][:h]}{mark}\n{m[0][h + 1 :]}", "keep")
+            for m in AT_END.finditer(t):
+                if m[2]:
+                    add(m[0], "keep")
+        return out
+
+    def joins(self, m: re.Match, text: str) -> bool:
+        """Whether a break mark at a line's end broke a word (join), or belongs there (keep)."""
+        return self.chars.best(self.break_features(m, text), ["keep", "join"]) == "join"
+
+    @staticmethod
+    def end_features(line: str, after: str, width: int) -> list[str]:
+        """Features of the end of a line (both stripped, neither blank) in a text whose longest line is so wide."""
+        last = "dash" if BROKEN.search(line + "\n") else "end" if line.endswith(SENTENCE_END) else "," if line.endswith(",") else "word"
+        first = "lower" if after[0].islower() else "digit" if after[0].isdigit() else "upper" if after[0].isupper() else "sign"
+        full = min(4, 5 * (len(line) + 1 + len(after.split(" ", 1)[0])) // max(1, width + 1))
+        wide, capitals = width >= WIDE, line.isupper()
+        return [f"e:{last},{first}", f"e:{last},{first},{wide}", f"e:{last},{wide},{full}", f"e:{last},{capitals},{after.isupper()}", f"e:{last},{first},{capitals},{wide}", f"e:{first},{full},{wide}", f"e:capitals={capitals},{wide}", f"e:full={full},{last}"]
+
+    def _end_examples(self, texts: list[str], rng: random.Random) -> list:
+        """Line ends of paragraphs, kept, and of the rows that narrow paper makes of them, joined."""
+        out = []
+        def flowing(t: str) -> bool:  # its lines are paragraphs: they end as sentences do
+            long = [x.rstrip() for x in t.split("\n") if len(x) > 30 and not x.isupper()]
+            return any(len(x) >= WIDE for x in long) and sum(x.endswith(SENTENCE_END) for x in long[1:]) >= 0.9 * len(long[1:])
+
+        wide = [t for t in texts if flowing(t)]
+        for t in (wide or texts)[:SAMPLE]:
+            own = [x.strip() for x in t.split("\n")]
+            for lines in (own if wide else [], None):
+                if lines is None:
+                    rows = [(r, k == len(rs) - 1) for w in [rng.randint(40, 95)] for x in own for rs in [narrowed(x, w)] for k, r in enumerate(rs)]
+                else:
+                    rows = [(x, True) for x in lines]
+                width = max((len(x) for x, _ in rows), default=0)
+                for x, _ in rows[:: max(1, len(rows) // 3)]:  # a line broken after a dash
+                    if (at := [m.start() for m in re.finditer(" ", x)]) and (k := rng.choice(at)) and x[k + 1 :]:
+                        out.append((self.end_features(x[:k] + " -", x[k + 1 :].capitalize() if rng.random() < 0.7 else x[k + 1 :], width), ["keep", "join"], "join"))
+                for (x, ends), (y, _) in zip(rows, rows[1:]):
+                    if x and y and not BROKEN.search(x + "\n") and (not ends or x.endswith(SENTENCE_END) or x.isupper() or rng.random() < 0.5):
+                        out.append((self.end_features(x, y, width), ["keep", "join"], "keep" if ends else "join"))
+        return out
+
+    def runs_on(self, line: str, after: str, width: int) -> bool:
+        """Whether a line's end stands inside a paragraph (join), or ends one (keep)."""
+        return self.chars.best(self.end_features(line, after, width), ["keep", "join"]) == "join"
 
     # page furniture ------------------------------------------------------------------------------------------------------
 
@@ -276,17 +445,8 @@ class Editor:
         for t in (wide or texts)[:SAMPLE]:
             lines = [x for x in t.split("\n")]
             if rng.random() < 0.6:  # narrow lines, as scans have them
-                width, wrapped = rng.randint(40, 95), []
-                for x in lines:
-                    row = ""
-                    for w in x.split(" "):
-                        if row and len(row) + 1 + len(w) > width:
-                            wrapped.append(row)
-                            row = w
-                        else:
-                            row = f"{row} {w}" if row else w
-                    wrapped.append(row)
-                lines = wrapped
+                width = rng.randint(40, 95)
+                lines = [row for x in lines for row in narrowed(x, width)]
             number, court = rng.choice(numbers), f"{rng.choice(['TAND', 'Tòa án nhân dân', 'TAND'])} {rng.choice(['huyện', 'tỉnh', 'thị xã', 'quận'])} {rng.choice(names)}"
             pages = rng.randint(2, 30)
             page = rng.choice([lambda k: f"{k}", lambda k: f"- {k} -", lambda k: f"[{k}]", lambda k: f"trang {k}", lambda k: f"Trang {k}/{pages}", lambda k: f"Tờ {k} / {pages}", lambda k: f"{k}/{pages}", lambda k: f"– {k} –", lambda k: f"Page {k}"])
@@ -339,17 +499,18 @@ class Editor:
         """Continuous paragraphs: furniture dropped, broken words and lines joined, misread letters put right."""
         gone = set(self.furniture_lines(text))
         lines = [x for i, x in enumerate(text.split("\n")) if i not in gone]
+        width, last = max(map(len, lines), default=0), ""
         text = "\n".join(lines)
         text = AT_END.sub(lambda m: m[1] + m[4] if self.joins(m, text) else m[0], text)
         out: list[str] = []
-        width = max((len(x) for x in text.split("\n")), default=0)
         for line in text.split("\n"):
             s = line.strip()
-            if out and s and out[-1] and not out[-1].endswith(SENTENCE_END) and not out[-1].isupper() and (s[0].islower() or s[0].isdigit() or width < 130):
+            if s and last and self.runs_on(last, s, width):
                 out[-1] += " " + s
             elif s or (out and out[-1]):
                 out.append(s)
-        return "\n".join(TOKEN.sub(lambda m: self.edit_token(m[0]) if DOUBT.search(m[0]) else m[0], x) for x in out).strip()
+            last = s
+        return "\n".join(TOKEN.sub(lambda m: self.edit_token(m[0]), x) for x in out).strip()
 
 
 def trained(texts: DataFrame) -> Editor:

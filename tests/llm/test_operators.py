@@ -200,6 +200,22 @@ def test_scan_is_repaired(editor):
     assert editor.repair(page + "\n- 2 -\n" + page) == SENTENCE + "\n" + SENTENCE
 
 
+def test_breaks_are_decided_by_the_editor(editor):
+    """Break marks and line ends are characters of the perceptron: halves that are counted as words don't keep a word apart."""
+    counts = Counter({w: 50 for w in editor.log}) + Counter({"ng": 20, "oạn": 20})
+    again = scans.Editor(encoding.Decoder(counts), ["\n".join([SENTENCE, SENTENCE])] * 60)
+    assert again.kinds(SENTENCE.replace("huyện", "huyện Ng-\noạn")) == ["hyphen"]
+    assert again.kinds("bị cáo Bạch Đảo -\nNgười bị hại") == []
+    assert "hyphen" not in again.kinds("theo biên bản số 01/2020/HS-\nST của tòa án")
+    assert any(f.startswith("j:") for f in again.chars.w) and any(f.startswith("e:") for f in again.chars.w)
+
+
+def test_stray_marks_and_lost_blanks_are_no_misread_letters(editor):
+    assert editor.edit_token("ph|ải") == "phải" and editor.misread("ph|ải ph|ải ph|ải") == 0
+    assert editor.edit_token("tiềnthiệt") == "tiền thiệt" and editor.edit_token("phải") == "phải"
+    assert editor.edit_token("n9ười") == "người" and editor.misread("n9ười n9ười n9ười") == 3
+
+
 def test_held_out_accuracy_of_the_editor(editor):
     rng = random.Random(9)
     right = total = 0
