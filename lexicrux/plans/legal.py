@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexicrux.functions import spans as S
 from lexicrux.functions import text as T
 from lexicrux.operators import citations as C
 from lexicrux.operators import evaluate as E
@@ -174,13 +173,15 @@ def ocr_statistics(spark, d):
 
 
 def _gold(spark, d):
+    """Annotated spans of every label, of the records that have a text."""
     g = _t(spark, d, "gold_spans").select(F.col("id").alias("doc_id"), F.posexplode("spans").alias("ord", "s")).select("doc_id", "ord", "s.label", "s.start", "s.end")
-    return g.join(_texts(spark, d).select("doc_id"), "doc_id", "left_semi").where("label = 'CASE_NUMBER'")
+    return g.join(_texts(spark, d).select("doc_id"), "doc_id", "left_semi")
 
 
 def _predicted(spark, d):
-    rx = next(p for label, p, _ in S.PATTERNS if label == "CASE_NUMBER")
-    return _texts(spark, d).select("doc_id", F.posexplode(S.matches(F.col("text"), rx, "CASE_NUMBER")).alias("ord", "s")).select("doc_id", "ord", "s.label", "s.start", "s.end")
+    """Spans of the default labeller, all its labels; of records that aren't in gold_spans none count."""
+    known = _t(spark, d, "gold_spans").select(F.col("id").alias("doc_id"))
+    return entity_spans(spark, d).select("doc_id", "ord", "label", "start", "end").join(known, "doc_id", "left_semi")
 
 
 def span_prf(spark, d):

@@ -295,6 +295,24 @@ def test_scores(spark):
     assert Counter(r.part for r in E.split(spark.range(5), "id").collect()) == {"train": 5, "dev": 5}
 
 
+@pytest.mark.parametrize("name", ["span_prf", "span_prf_overlap"])
+def test_evaluation_covers_every_label(spark, sf, name):
+    from lexicrux.plans.spans import _texts, entity_spans
+
+    texts = {r.doc_id for r in _texts(spark, sf).collect()}
+    gold = [(r.id, s) for r in spark.read.parquet(f"{sf}/gold_spans.parquet").collect() if r.id in texts for s in r.spans or []]
+    ids = {r.id for r in spark.read.parquet(f"{sf}/gold_spans.parquet").select("id").collect()}
+    pred = [r for r in entity_spans(spark, sf).collect() if r.doc_id in ids]
+    place = lambda d, s: (d, s.label, s.start, s.end)
+    want = {x: (Counter(s.label for _, s in gold)[x], Counter(r.label for r in pred)[x]) for x in {s.label for _, s in gold} | {r.label for r in pred}}
+    got = {r.label: r for r in entry.queries()[name](spark, sf).collect()}
+    assert len(want) > 1 and {k: (r.gold, r.pred) for k, r in got.items()} == want | {"micro": (len(gold), len(pred))}
+    assert got["micro"].tp == sum(r.tp for k, r in got.items() if k != "micro")
+    if name == "span_prf":
+        hits = Counter(place(d, s) for d, s in gold) & Counter(place(r.doc_id, r) for r in pred)
+        assert got["micro"].tp == sum(hits.values())
+
+
 def test_jobs(spark):
     j = spark.createDataFrame([("a", "running"), ("b", "queued"), ("c", "done")], "id STRING, status STRING")
     assert {r.id: r.status for r in J.recovered(j).collect()} == {"a": "error", "b": "queued", "c": "done"}
