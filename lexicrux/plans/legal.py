@@ -150,6 +150,22 @@ def existence_report(spark, d):
     return X.reports(p.where("rec_no % 10 = 0").withColumnRenamed("rec_no", "q"), p.withColumnRenamed("rec_no", "c"))
 
 
+def _numbered(spark, d):
+    return _t(spark, d, "precedents").select("rec_no", "case_number", "court", F.regexp_extract("full_text", r"(\d{1,2}/\d{1,2}/\d{4})", 1).alias("date"))
+
+
+def existence_score_all(spark, d):
+    """existence_score with every precedent as a query."""
+    p = _numbered(spark, d)
+    return X.scored(p.withColumnRenamed("rec_no", "q"), p.withColumnRenamed("rec_no", "c")).where("score >= 0.6")
+
+
+def existence_report_all(spark, d):
+    """existence_report with every precedent as a query."""
+    p = _numbered(spark, d)
+    return X.best_reports(p.withColumnRenamed("rec_no", "q"), p.withColumnRenamed("rec_no", "c"))
+
+
 def forgery_risk_score(spark, d):
     sev = F.when(F.col("event_type") == "error", "high").when(F.col("event_type").isin("purchase", "signup"), "medium").otherwise("low")
     f = _t(spark, d, "events").where("user_id IS NOT NULL").select("user_id", (F.col("event_id") % 97).alias("doc"), sev.alias("severity"))
@@ -215,7 +231,7 @@ def coverage_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (law_classify, citation_parse, citation_first, citation_verify, citation_report, citation_reattach, citation_spans, law_article_lookup, validity_at_date, penalty_parse, statute_clauses, penalty_frame_parse, sentencing_frame_check, charge_match, existence_score, existence_report, forgery_risk_score, font_outlier, dimension_outlier, ocr_statistics, span_prf, span_prf_overlap, train_dev_split, job_state_latest, resume_anti_join, coverage_report)
+    for f in (law_classify, citation_parse, citation_first, citation_verify, citation_report, citation_reattach, citation_spans, law_article_lookup, validity_at_date, penalty_parse, statute_clauses, penalty_frame_parse, sentencing_frame_check, charge_match, existence_score, existence_report, existence_score_all, existence_report_all, forgery_risk_score, font_outlier, dimension_outlier, ocr_statistics, span_prf, span_prf_overlap, train_dev_split, job_state_latest, resume_anti_join, coverage_report)
 }
 _KEY = "CASE law WHEN 'BLHS' THEN 'BLHS2015' WHEN 'BLTTHS' THEN 'BLTTHS2015' WHEN 'BLDS' THEN 'BLDS2015' END"
 _VERIFY = f"""

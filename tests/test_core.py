@@ -295,6 +295,20 @@ def test_scores(spark):
     assert Counter(r.part for r in E.split(spark.range(5), "id").collect()) == {"train": 5, "dev": 5}
 
 
+def test_existence_of_every_precedent(spark):
+    from lexicrux.operators import existence as X
+    from lexicrux.plans.legal import _numbered
+
+    d = "/root/testdata/sf0.01"
+    p = _numbered(spark, d)
+    q, c = p.withColumnRenamed("rec_no", "q"), p.withColumnRenamed("rec_no", "c")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    got, want = rows(entry.queries()["existence_report_all"](spark, d)), rows(X.reports(q, c))
+    assert got == want and len(got) == p.count()
+    scores, tenth = ({tuple(r) for r in entry.queries()[n](spark, d).collect()} for n in ("existence_score_all", "existence_score"))
+    assert {r for r in scores if r[0] % 10 == 0} == tenth and any(r[0] % 10 for r in scores)
+
+
 @pytest.mark.parametrize("name", ["span_prf", "span_prf_overlap"])
 def test_evaluation_covers_every_label(spark, sf, name):
     from lexicrux.plans.spans import _texts, entity_spans
