@@ -8,8 +8,8 @@ that reaches RECALL is taken (all leaves if none does). Leaves are compared in b
 Vectors that are equal are searched once and get their copies back at the end.
 
 Defined results: a vector is usable if `dim` is its length and all values are finite and not all zero; others have no row.
-Ties: every vector of the same cosine as the k-th counts, but of a group of more than k equal vectors only the first k by
-key. Cosines are computed in double precision."""
+Ties: every vector of the same cosine as the k-th counts; of a group of more than k equal vectors only the first k + 1 by key
+unless every_copy is set, as p3_found does: its rows then grow with the square of such a group. Cosines are computed in double precision."""
 
 from __future__ import annotations
 
@@ -206,7 +206,7 @@ def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, stage(twice.select("k", "dim", "rep", "copies", F.row_number().over(Window.partitionBy("rep").orderBy("k")).alias("no")))
 
 
-def similar_pairs(rows: DataFrame, k: int, least: float) -> DataFrame:
+def similar_pairs(rows: DataFrame, k: int, least: float, every_copy: bool = False) -> DataFrame:
     """rec_a < rec_b of the same dim whose cosine reaches `least` and of which one is among the other's k nearest."""
     reps, twice = distinct_vectors(rows)
     out = None
@@ -222,17 +222,18 @@ def similar_pairs(rows: DataFrame, k: int, least: float) -> DataFrame:
     x = out.join(*n("a", "na")).join(*n("b", "nb")).na.fill(1, ["na", "nb"])
     x = x.withColumn("same", F.sum("nb").over(Window.partitionBy("a", "sim"))).withColumn("before", F.col("na") - 1 + F.sum("nb").over(w) - F.col("same")).where(F.col("before") < k)
     part = lambda c: twice.select(F.col("rep").alias(c), F.col("k").alias(f"{c}k"), F.col("no").alias(f"{c}no"))
-    # of a group of more than k equal vectors the first k count, of smaller ones all
-    full = x.join(part("b").where(F.col("bno") <= k + 1), "b", "left").join(part("a"), "a", "left")
+    # of a group of more than k equal vectors all count, or the first k; of smaller ones all
+    counts = lambda no: F.lit(every_copy) | (F.col(no) <= k + 1)
+    full = x.join(part("b").where(counts("bno")), "b", "left").join(part("a"), "a", "left")
     across = full.select(F.coalesce("ak", "a").alias("a"), F.coalesce("bk", "b").alias("b"))
     t = twice.select("rep", F.col("k").alias("a"), F.col("no").alias("na"), "copies")
-    u = twice.where(F.col("no") <= k + 1).select("rep", F.col("k").alias("b"), F.col("no").alias("nb"))
+    u = twice.where(counts("no")).select("rep", F.col("k").alias("b"), F.col("no").alias("nb"))
     within = t.join(u, "rep").where("na <> nb").select("a", "b")
     return across.unionByName(within).where("a <> b").select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b")).distinct()
 
 
 def p3_found(spark, d: str) -> DataFrame:
-    return similar_pairs(usable(spark.read.parquet(f"{d}/precedents.parquet")), 5, 0.90)
+    return similar_pairs(usable(spark.read.parquet(f"{d}/precedents.parquet")), 5, 0.90, every_copy=True)
 
 
 def p3_knn(spark, d: str) -> DataFrame:

@@ -113,6 +113,13 @@ def test_similar_pairs_of_nothing_and_of_many_copies(spark):
     assert got == {(i, j) for i in range(6) for j in range(i + 1, 40)}  # the first six by key, with everyone
 
 
+def test_p3_found_has_every_copy(spark, tmp_path):
+    rows = [(i, 4, [1.0, 2.0, 3.0, 4.0], "x", "x") for i in range(12)] + [(50, 4, [1.0, 2.0, 3.0, 4.1], "x", "x")]
+    spark.createDataFrame(rows, VEC).write.parquet(f"{tmp_path}/precedents.parquet")
+    got = {tuple(r) for r in neighbours.p3_found(spark, str(tmp_path)).collect()}
+    assert got == {(i, j) for i in range(12) for j in [*range(i + 1, 12), 50]}
+
+
 def test_recall_of_the_tree_on_the_tables(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/precedents.parquet").select("rec_no", "dim", "vector").collect()]
     got = {tuple(r) for r in queries()["p3_found"](spark, sf).collect()}
