@@ -5,11 +5,12 @@ Extended-prefix join. Sets are ordered by rising frequency of their tokens over
 combinations of l prefix tokens. l is chosen among 1, 2 and 3 by the exact cost of each over all data: keys to be
 shuffled plus pairs to be compared. Candidates of fitting sizes are then verified on whole sets.
 
-Records with the same set are joined once, through the least key among them.
+Records with the same set are joined once, through the least key among them: p6_pairs and p6_classes give the pairs of
+classes and the membership, p6_found all pairs of records, whatever the size of a class. A key of many sets is split into
+blocks of HOT, each pair of blocks being joined by itself.
 
 Defined results: null, empty and blank elements are left out; a set under `least` elements has no pairs; repeated elements
-count once; of copies (same set) all pairs come out up to COPIES a group, beyond that each copy is linked to the least and
-the next of its group and to the least of every similar group."""
+count once; records with equal sets are a pair like others."""
 
 from __future__ import annotations
 
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexicrux.llm.copies import all_pairs
 from lexicrux.staging import stage
 
 NUM, DEN = 4, 5  # the threshold 0.8 as a fraction, for exact bounds
 LEAST = 10
-COPIES = 64
 SALTS = 8
+#: Sets of one key that one task joins with as many others at most.
+HOT = 4096
 ZEROS = re.compile(r"(?<!\d)0+(?=\d)")
 
 
@@ -81,6 +84,18 @@ def keyed(ordered: DataFrame, n: int) -> DataFrame:
     return ordered.select("rep", size.alias("size"), F.explode(combinations(prefix, n)).alias("key"))
 
 
+def candidates(keys: DataFrame) -> DataFrame:
+    """rep_a < rep_b of fitting sizes that share a key (rep, size, key)."""
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
+    many = keys.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = keys.withColumn("salt", salt).join(many, ["key", "salt"]).withColumn("own", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = keys.select("key", F.col("own").alias("block_a"), other.alias("block_b"), F.col("rep").alias("rep_a"), F.col("size").alias("size_a"))
+    b = keys.select("key", other.alias("block_a"), F.col("own").alias("block_b"), F.col("rep").alias("rep_b"), F.col("size").alias("size_b"))
+    fits = (F.col("rep_a") < F.col("rep_b")) & (F.col("size_a") * NUM <= F.col("size_b") * DEN) & (F.col("size_b") * NUM <= F.col("size_a") * DEN)
+    return a.join(b, ["key", "block_a", "block_b"]).where(fits).select("rep_a", "rep_b").distinct()
+
+
 def similar_sets(rows: DataFrame, key: str, fields: list[str], least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(pairs of class representatives: rep_a < rep_b, common, united; membership: key, rep, copies)."""
     sets = stage(token_sets(rows, key, fields, least))
@@ -94,50 +109,38 @@ def similar_sets(rows: DataFrame, key: str, fields: list[str], least: int = LEAS
     for n in (1, 2, 3):
         c = keyed(ordered, n).groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("keys"), F.sum(F.col("n") * (F.col("n") - 1.0) / 2).alias("pairs")).first()
         cost[n] = 3 * (c["keys"] or 0) + (c["pairs"] or 0)
-    keys = keyed(ordered, min(cost, key=lambda n: (cost[n], n)))
-    a = keys.withColumnsRenamed({"rep": "rep_a", "size": "size_a"})
-    b = keys.withColumnsRenamed({"rep": "rep_b", "size": "size_b"})
-    fits = (F.col("rep_a") < F.col("rep_b")) & (F.col("size_a") * NUM <= F.col("size_b") * DEN) & (F.col("size_b") * NUM <= F.col("size_a") * DEN)
-    cand = a.join(b, "key").where(fits).select("rep_a", "rep_b").distinct()
+    pairs = candidates(keyed(ordered, min(cost, key=lambda n: (cost[n], n))))
     toks = ordered.select("rep", "toks")
-    full = cand.join(toks.withColumnsRenamed({"rep": "rep_a", "toks": "toks_a"}), "rep_a").join(toks.withColumnsRenamed({"rep": "rep_b", "toks": "toks_b"}), "rep_b")
+    full = pairs.join(toks.withColumnsRenamed({"rep": "rep_a", "toks": "toks_a"}), "rep_a").join(toks.withColumnsRenamed({"rep": "rep_b", "toks": "toks_b"}), "rep_b")
     common = F.size(F.array_intersect("toks_a", "toks_b"))
     checked = full.select("rep_a", "rep_b", common.alias("common"), (F.size("toks_a") + F.size("toks_b") - common).alias("united"))
     return checked.where(F.col("common") * DEN >= F.col("united") * NUM), members
 
 
 def expanded(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Pairs of records out of pairs of representatives; see the module's text for large groups of copies."""
-    m = members.select(F.col(key).alias("k"), "rep", "copies", F.lag(key).over(_by(key)).alias("before"))
-    a = m.select(F.col("rep").alias("rep_a"), F.col("k").alias("a"), F.col("copies").alias("copies_a"))
-    b = m.select(F.col("rep").alias("rep_b"), F.col("k").alias("b"), F.col("copies").alias("copies_b"))
-    small = lambda c, k, r: (F.col(c) <= COPIES) | (F.col(k) == F.col(r))
-    both = pairs.select("rep_a", "rep_b")
-    across = both.join(a.where(small("copies_a", "a", "rep_a")), "rep_a").join(b.where(small("copies_b", "b", "rep_b")), "rep_b").select("a", "b")
-    big = both.join(a.where(F.col("copies_a") > COPIES), "rep_a").select("a", F.col("rep_b").alias("b")).unionByName(both.join(b.where(F.col("copies_b") > COPIES), "rep_b").select(F.col("rep_a").alias("a"), "b"))
-    few = m.where((F.col("copies") > 1) & (F.col("copies") <= COPIES))
-    within = few.select("rep", F.col("k").alias("a")).join(few.select("rep", F.col("k").alias("b")), "rep").select("a", "b")
-    chain = m.where(F.col("copies") > COPIES)
-    linked = chain.select(F.col("rep").alias("a"), F.col("k").alias("b")).unionByName(chain.select(F.col("before").alias("a"), F.col("k").alias("b")))
-    every = across.unionByName(big).unionByName(within).unionByName(linked).where("a <> b")
-    return every.select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b")).distinct()
-
+    """Pairs of records out of pairs of classes and of all records within a class."""
+    same = members.where("copies > 1").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")).distinct()
+    return all_pairs(pairs.select("rep_a", "rep_b").unionByName(same), members.select(F.col(key).alias("k"), "rep", "copies"))
 
-def _by(key: str):
-    from pyspark.sql import Window
 
-    return Window.partitionBy("rep").orderBy(key)
+def _classes(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    pairs, members = similar_sets(spark.read.parquet(f"{d}/precedents.parquet"), "rec_no", ["crimes", "articles"])
+    return stage(pairs), stage(members)
 
 
 def p6_found(spark, d: str) -> DataFrame:
-    pairs, members = similar_sets(spark.read.parquet(f"{d}/precedents.parquet"), "rec_no", ["crimes", "articles"])
-    return expanded(stage(pairs), stage(members), "rec_no")
+    pairs, members = _classes(spark, d)
+    return expanded(pairs, members, "rec_no")
+
+
+def p6_pairs(spark, d: str) -> DataFrame:
+    """Pairs of classes of equal sets by their least rec_no, with the sizes of what they have in common and united."""
+    return _classes(spark, d)[0]
 
 
 def p6_classes(spark, d: str) -> DataFrame:
     """One row per record with a set of ten or more: its class of equal sets and the number of similar classes."""
-    pairs, members = similar_sets(spark.read.parquet(f"{d}/precedents.parquet"), "rec_no", ["crimes", "articles"])
-    pairs = stage(pairs)
+    pairs, members = _classes(spark, d)
     links = pairs.select(F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("rep_b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     return members.join(links, "rep", "left").select("rec_no", F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
@@ -148,7 +151,16 @@ c AS (SELECT DISTINCT rec_no, regexp_replace(regexp_replace(trim(regexp_replace(
 k AS (SELECT rec_no, count(*) AS n FROM c WHERE x <> '' GROUP BY rec_no HAVING count(*) >= 10),
 t AS (SELECT c.rec_no, x, n FROM c JOIN k USING (rec_no) WHERE x <> '')
 """
-QUERIES = {"p6_found": p6_found, "p6_classes": p6_classes}
+_CLASSES = (
+    _SETS
+    + r""", g AS (SELECT rec_no, list_sort(list(x)) AS s FROM t GROUP BY rec_no), q AS (SELECT s, min(rec_no) AS rep, count(*) AS copies FROM g GROUP BY s), m AS (SELECT rec_no, rep, copies FROM g JOIN q USING (s)),
+u AS (SELECT t.* FROM t JOIN q ON rec_no = rep),
+j AS (SELECT a.rec_no AS rep_a, b.rec_no AS rep_b, CAST(count(*) AS INTEGER) AS common, CAST(any_value(a.n) + any_value(b.n) - count(*) AS INTEGER) AS united FROM u a JOIN u b ON a.x = b.x AND a.rec_no < b.rec_no GROUP BY ALL HAVING count(*) * 5 >= 4 * (any_value(a.n) + any_value(b.n) - count(*)))
+"""
+)
+QUERIES = {"p6_found": p6_found, "p6_pairs": p6_pairs, "p6_classes": p6_classes}
 SQL = {
     "p6_found": _SETS + "SELECT a.rec_no AS rec_a, b.rec_no AS rec_b FROM t a JOIN t b ON a.x = b.x AND a.rec_no < b.rec_no GROUP BY a.rec_no, b.rec_no HAVING count(*) * 5 >= 4 * (any_value(a.n) + any_value(b.n) - count(*))",
+    "p6_pairs": _CLASSES + "SELECT rep_a, rep_b, common, united FROM j",
+    "p6_classes": _CLASSES + ", l AS (SELECT rep, count(*) AS links FROM (SELECT rep_a AS rep FROM j UNION ALL SELECT rep_b FROM j) GROUP BY rep) SELECT rec_no, rep AS class_id, copies, coalesce(links, 0) AS links FROM m LEFT JOIN l USING (rep)",
 }

@@ -283,12 +283,17 @@ def test_every_prefix_length_finds_all(spark, n):
     assert need <= met
 
 
-def test_large_groups_of_copies_stay_linear(spark):
-    rows = [(i, None, [f"Điều {j}" for j in range(1, 12)], "x", "x", "x", "x") for i in range(200)] + [(500, ["Cướp"], [f"Điều {j}" for j in range(1, 12)], "x", "x", "x", "x")]
+def test_large_groups_of_copies_are_whole(spark, monkeypatch):
+    from lexicrux.llm import copies
+
+    monkeypatch.setattr(copies, "BLOCK", 64)
+    monkeypatch.setattr(setjoin, "HOT", 3)
+    rows = [(i, None, [f"Điều {j}" for j in range(1, 12)], "x", "x", "x", "x") for i in range(200)] + [(500 + i, [f"Cướp {i}"], [f"Điều {j}" for j in range(1, 12)], "x", "x", "x", "x") for i in range(9)]
     pairs, members = setjoin.similar_sets(spark.createDataFrame(rows, SETS), "rec_no", ["crimes", "articles"])
-    got = {tuple(r) for r in setjoin.expanded(pairs, members, "rec_no").collect()}
-    assert {a for a, _ in got} | {b for _, b in got} == {r[0] for r in rows} and len(got) < 3 * len(rows)
-    assert {(i, 500) for i in range(200)} <= got
+    assert pairs.count() == 9 * 10 // 2
+    got = Counter(tuple(r) for r in setjoin.expanded(pairs, members, "rec_no").collect())
+    ids = [r[0] for r in rows]
+    assert got == Counter((a, b) for a in ids for b in ids if a < b)
     pairs, members = setjoin.similar_sets(spark.createDataFrame([], SETS), "rec_no", ["crimes", "articles"])
     assert setjoin.expanded(pairs, members, "rec_no").count() == 0
 
