@@ -2,11 +2,16 @@
 
 A page becomes a sequence of function words, frequent words and word classes (number, initials, address, tag, capitalised,
 other, with the place inside a run of such words). An n-gram model (word pairs and pairs with one word between them,
-smoothed by single words) is trained on sentences and numbered list lines of a bounded sample: at most SAMPLE pages, the
-ones least by hash. Pages are scored in segments of about SEGMENT words. A segment is stuffing if its perplexity lies above
-what the training prose allows (median + SPREAD times the distance from there to the 90 % quantile), or is low because it
-repeats itself (of its own word pairs less than DISTINCT are different). A page is found if most of its words (SHARE) stand in such
-segments.
+smoothed by single words) is trained on the sentences and numbered list lines of all pages: which words are frequent, the
+model's counts and the limits below are counted over the whole table, in tables of fixed size that are added up.
+
+Pages are scored in segments of about SEGMENT words that follow their lines. A segment is stuffing if its perplexity is
+
+- abnormally high: above median + SPREAD times the distance from there to the 90 % quantile of all training prose, or
+- abnormally low: a cache of the segment's own word pairs, mixed into the model, takes more off its log perplexity than
+  off training prose, by the same rule and by LEAST_GAIN at least. That is how a page that repeats itself shows.
+
+A page is found if most of its words (SHARE) stand in such segments.
 
 Defined results: null, empty and blank pages are never found; repeated rows are judged each; with an empty table, or one
 without any prose, nothing is found. Whole texts are scored."""
@@ -16,19 +21,21 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 3000
 SEGMENT = 24
 FREQUENT = 400
 SPREAD = 3.5
-DISTINCT = 0.7
-#: Found pages; by far most pages score under 0.6 or over 0.8, so that the segments' roughness doesn't decide.
-SHARE = 0.65
+LEAST_GAIN = 1.0
+CACHE = 0.5
+SHARE = 0.5
+#: Cells of a histogram of scores, and their width.
+CELLS, WIDTH = 4000, 0.005
 
 # fixed values: function words of Vietnamese and English
 FUNCTION_WORDS = """
@@ -43,42 +50,49 @@ SIGNS = list(".,;:?!|-–—/\"“”()[]<>#»•*&%='")
 SHAPES = ["url", "tag", "markup", "initials", "number", "capitals", "sign", "line"]
 WORD_RUN, NAME_RUN = 14, 6
 TOKEN = re.compile(r"https?://\S+|www\.\S+|#\w+|<a\b|</a>|(?:\w\.)+\w\b|\d[\d.,/:\-]*\w*|\w+|[^\w\s]|\n")
-SENTENCE = re.compile(r"(?:^|(?<=[.?!]\s))[^\W\d_](?:[^.?!\n#|<>»–]|[.](?=\w)){25,600}[.?!](?=\s|$)", re.M)
-LISTED = re.compile(r"^(?:[^\W\d_]{1,6} )?\d{1,3}[.)] .{12,400}$", re.M)
+#: Words of a sentence that the model learns from, and the function words a list line must hold.
+SENTENCE, LISTED = (6, 150), 2
 
 
 class Prose:
-    """Classes and smoothed tables of negative log probabilities."""
-
-    def __init__(self, texts: list[str]):
-        known = set(FUNCTION_WORDS)
-        lines = [m for t in texts for m in SENTENCE.findall(t) if m[0].isupper() and "http" not in m]
-        lines += [m for t in texts for m in LISTED.findall(t) if "http" not in m and len(known & set(m.lower().split())) >= 2]
-        often = Counter(w for m in lines for w in {x.lower() for x in TOKEN.findall(m) if x.isalpha()})
-        names = dict.fromkeys([*FUNCTION_WORDS, *(w for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]), *SIGNS])
+    """Classes of tokens, and smoothed tables of negative log probabilities once they are counted."""
+
+    def __init__(self, frequent: list[str]):
+        names = dict.fromkeys([*FUNCTION_WORDS, *frequent, *SIGNS])
         self.ids = {w: i for i, w in enumerate(names, 1)}
         n = len(self.ids) + 1
         self.shape = {s: n + i for i, s in enumerate(SHAPES)}
         self.word = n + len(SHAPES)
         self.name = self.word + WORD_RUN
         self.size = self.name + NAME_RUN
-        self.cache: dict[str, int] = {}
-        pair, skip = (np.zeros((self.size, self.size), np.float32) for _ in range(2))
-        seqs = [self.classes(m) for m in lines]
-        for s in seqs:
-            b = np.concatenate([[0, 0], s])
-            np.add.at(pair, (b[1:-1], b[2:]), 1)
-            np.add.at(skip, (b[:-2], b[2:]), 1)
+        self.high = self.low = float("inf")
+        self._tables()
+
+    def _tables(self) -> None:
+        kind = np.zeros(self.size, np.uint8)  # 1: ends a sentence, 2: ends a line, 4: not in prose, 8: function word, 16: opens a sentence
+        for signs, bit in ((".?!", 1), ("#|<>»–•", 4)):
+            for c in signs:
+                kind[self.ids[c]] |= bit
+        kind[self.shape["line"]] |= 2
+        for s in ("url", "tag", "markup"):
+            kind[self.shape[s]] |= 4
+        kind[[self.ids[w] for w in FUNCTION_WORDS]] |= 8
+        self.kind = kind
+        self.cache = _Known(self)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "cache"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.cache = _Known(self)
+
+    def counted(self, pair: np.ndarray, skip: np.ndarray) -> "Prose":
         one = (pair.sum(0) + 0.5) / (pair.sum() + 0.5 * self.size)
         self.pair, self.skip = (np.minimum(-np.log((m + 3 * one) / (m.sum(1, keepdims=True) + 3)), 10).astype(np.float32) for m in (pair, skip))
-        self.trained = len(lines)
-        scores = np.concatenate([self.segments(s)[0] for s in seqs]) if seqs else np.array([np.inf])
-        mid, high = np.quantile(scores, [0.5, 0.9])
-        # prose all of one kind has hardly any spread; twice its usual score is still nothing strange
-        self.limit = float(max(mid + SPREAD * (high - mid), 2 * mid)) if seqs else float("inf")
-        self.cache = {}
-
-    def _class(self, t: str) -> int:
+        return self
+
+    def classed(self, t: str) -> int:
         low = t.lower()
         if low in self.ids:
             return self.ids[low]
@@ -101,58 +115,198 @@ class Prose:
             return self.shape["capitals"]
         return self.name if c.isupper() else self.word
 
-    def classes(self, text: str | list[str]) -> np.ndarray:
-        cache, out = self.cache, []
-        if len(cache) > 300_000:
-            cache.clear()
-        for t in TOKEN.findall(text) if isinstance(text, str) else text:
-            if (v := cache.get(t)) is None:
-                v = cache[t] = self._class(t)
-            out.append(v)
-        a = np.array(out, np.int32)
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, identity and whether it begins with a capital, of each token."""
+        if len(self.cache) > 300_000:
+            self.cache.clear()
+        a = np.fromiter(chain.from_iterable(map(self.cache.__getitem__, text.replace("\n", " \n ").split(" "))), np.int64)
+        cls, word, capital = (a & 0xFFFF).astype(np.int32), a >> 17, (a >> 16 & 1).astype(bool)
         at = np.arange(len(a))
         for base, most in ((self.word, WORD_RUN), (self.name, NAME_RUN)):
-            m = a == base
+            m = cls == base
             if m.any():
                 place = at - np.maximum.accumulate(np.where(m, -1, at)) - 1
-                a = np.where(m, base + np.minimum(place, most - 1), a)
-        return a
-
-    def segments(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mean score, edges and length of each segment."""
-        n = len(s)
-        b = np.concatenate([[0, 0], s])
-        score = self.pair[b[1:-1], b[2:]] + self.skip[b[:-2], b[2:]]
-        k = max(1, round(n / SEGMENT))
-        edge = np.linspace(0, n, k + 1).astype(np.int64)
-        length = np.diff(edge)
-        total = np.add.reduceat(score, edge[:-1]) if n else np.zeros(1)
-        return total / np.maximum(length, 1), edge, length
+                cls = np.where(m, base + np.minimum(place, most - 1), cls)
+        return cls, word, capital
+
+    def prose(self, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sentences and list lines of a page (classes, identities): what the model learns from."""
+        cls, word, capital = self.tokens(text)
+        if not len(cls):
+            return []
+        kind, line = self.kind[cls], self.shape["line"]
+        after = np.concatenate([cls[1:], [line]])
+        # a mark at the line's end ends a sentence, and one before a capital
+        ends = (kind & 2 > 0) | ((kind & 1 > 0) & ((after == line) | np.concatenate([capital[1:], [True]])))
+        edge = np.flatnonzero(ends) + 1
+        first, last = np.concatenate([[0], edge[:-1]]), edge
+        if not len(edge):
+            return []
+        bad = np.add.reduceat(kind & 4 > 0, first)
+        function = np.add.reduceat((kind & 8 > 0).astype(np.int32), first)
+        out, number = [], self.shape["number"]
+        for i, j, b, f in zip(first.tolist(), last.tolist(), bad.tolist(), function.tolist()):
+            closed = kind[j - 1] & 1 > 0
+            j -= not closed
+            if not b and f and SENTENCE[0] <= j - i <= SENTENCE[1] and ((closed and capital[i]) or (f >= LISTED and number in (cls[i], cls[i + 1]))):
+                out.append((cls[i:j], word[i:j]))
+        return out
+
+    def scores(self, cls: np.ndarray) -> np.ndarray:
+        b = np.concatenate([[0, 0], cls])
+        return self.pair[b[1:-1], b[2:]] + self.skip[b[:-2], b[2:]]
+
+    def segments(self, cls: np.ndarray) -> np.ndarray:
+        """First tokens of the segments: lines put together up to SEGMENT words, longer ones cut evenly."""
+        n = len(cls)
+        edges = np.flatnonzero(cls == self.shape["line"]) + 1
+        out, at = [0], 0
+        for e in [*edges.tolist(), n]:
+            if e - at >= SEGMENT or e == n:
+                k = max(1, round((e - at) / SEGMENT))
+                out += [at + (e - at) * i // k for i in range(1, k)] + [e]
+                at = e
+        if len(out) > 2 and n - out[-2] < SEGMENT // 2:  # a short rest belongs to what is before it
+            del out[-2]
+        return np.array(sorted({x for x in out if x < n}), np.int64)
+
+    def measured(self, cls: np.ndarray, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean score of each segment, what the cache takes off it, and its length."""
+        n = len(cls)
+        length = np.diff(np.concatenate([first, [n]]))
+        score = self.scores(cls)
+        where = np.repeat(np.arange(len(first), dtype=np.int64), length)
+        before = np.concatenate([[0], word[:-1]])
+        before[first] = 0
+        key = (before * 0x9E3779B1 ^ word) * 0x85EBCA77 + where
+        seen, of = _earlier(key), _earlier(before * 0x9E3779B1 + where)
+        cached = -np.log(CACHE * seen / (of + 1.0) + (1 - CACHE) * np.exp(-np.minimum(score, 20)))
+        gain = np.maximum(score - cached, 0)
+        return np.add.reduceat(score, first) / length, np.add.reduceat(gain, first) / length, length
 
     def share(self, text: str) -> float:
         """Share of the page's words that stand in stuffing."""
-        tokens = TOKEN.findall(text)
-        s = self.classes(tokens)
-        if not len(s):
+        cls, word, _ = self.tokens(text)
+        if not len(cls):
             return 0.0
-        mean, edge, length = self.segments(s)
-        # classes hide which word it was: repetition is looked for in the words themselves
-        where = np.repeat(np.arange(len(length)), length)
-        words = np.fromiter(map(hash, tokens), np.int64, len(tokens)).view(np.uint64)
-        pairs = np.concatenate([np.zeros(1, np.uint64), words[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + words + where.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        different = np.bincount(where[np.unique(pairs, return_index=True)[1]], minlength=len(length)) / np.maximum(length, 1)
-        bad = (mean > self.limit) | ((different < DISTINCT) & (length >= SEGMENT // 2))
-        return float(length[bad].sum() / len(s))
+        mean, gain, length = self.measured(cls, word, self.segments(cls))
+        bad = (mean > self.high) | ((gain > self.low) & (length >= SEGMENT // 2))
+        return float(length[bad].sum() / len(cls))
+
+
+class _Known(dict):
+    """Tokens of each stretch without blanks: class, whether it begins with a capital, and identity in one number each."""
+
+    def __init__(self, model: Prose):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        out = self[chunk] = tuple((hash(t) & 0x3FFFFFFFFFFF) << 17 | t[0].isupper() << 16 | self.model.classed(t) for t in TOKEN.findall(chunk))
+        return out
+
+
+def _earlier(key: np.ndarray) -> np.ndarray:
+    """How often each element stood there before."""
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    at = np.arange(len(s))
+    out = np.empty(len(s), np.float32)
+    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return out
+
+
+def frequent(pages: DataFrame) -> list[str]:
+    """The FREQUENT words that stand in most pages (column t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            words: Counter = Counter()
+            for w, n in total.items():
+                w = w.strip(".,;:?!()\"“”").lower()
+                if w.isalpha():
+                    words[w] += n
+            total.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                total.update(set(t.split()))
+            if len(total) > 400_000:
+                yield out()
+        yield out()
+
+    counts = pages.select("t").mapInArrow(run, "word STRING, n BIGINT").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+
+
+def _summed(pages: DataFrame, model: Prose, cells: int, counted) -> np.ndarray:
+    """Sum over all partitions of counted(model, text, table), a table of so many cells."""
+    sent = pages.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, table = sent.value, np.zeros(cells, np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                counted(m, t, table)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], ["at", "n"])
+
+    rows = pages.select("t").mapInArrow(run, "at INT, n BIGINT").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells, np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _pairs(m: Prose, text: str, table: np.ndarray) -> None:
+    n = m.size
+    for cls, _ in m.prose(text):
+        b = np.concatenate([[0, 0], cls]).astype(np.int64)
+        np.add.at(table, b[1:-1] * n + b[2:], 1)
+        np.add.at(table, n * n + b[:-2] * n + b[2:], 1)
+
+
+def _spread(m: Prose, text: str, table: np.ndarray) -> None:
+    rows = m.prose(text)
+    if rows:
+        cls, word = (np.concatenate(x) for x in zip(*rows))
+        size = np.array([len(c) for c, _ in rows])
+        start = np.cumsum(size) - size
+        k = np.maximum(1, np.round(size / SEGMENT).astype(np.int64))
+        first = np.concatenate([a + n * np.arange(c) // c for a, n, c in zip(start.tolist(), size.tolist(), k.tolist())])
+        mean, gain, _ = m.measured(cls, word, first)
+        for x, base in ((mean, 0), (gain, CELLS)):
+            np.add.at(table, base + np.minimum((x / WIDTH).astype(np.int64), CELLS - 1), 1)
+
+
+def _limit(cells: np.ndarray) -> float:
+    """Median and 90 % quantile of a histogram, and what lies beyond them by SPREAD."""
+    total = np.cumsum(cells)
+    mid, high = ((np.searchsorted(total, q * total[-1]) + 0.5) * WIDTH for q in (0.5, 0.9))
+    # prose all of one kind has hardly any spread; twice its usual score is still nothing strange
+    return float(max(mid + SPREAD * (high - mid), 2 * mid))
+
+
+def trained(pages: DataFrame) -> Prose:
+    """The model of a table of pages (column t)."""
+    model = Prose(frequent(pages))
+    n = model.size
+    both = _summed(pages, model, 2 * n * n, _pairs).reshape(2, n, n)
+    model.counted(both[0], both[1])
+    cells = _summed(pages, model, 2 * CELLS, _spread)
+    if cells.any():
+        model.high, model.low = _limit(cells[:CELLS]), max(LEAST_GAIN, _limit(cells[CELLS:]))
+    return model
 
 
 def stuffed(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and the share of its words that stand in stuffing, for every page that has words."""
     own = pages.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"\S"))
     kind = dict(own.dtypes)["k"]
-    # keys alone are sorted out; the texts of the chosen pages follow by a join with this bounded table
-    ids = own.select("k").orderBy(F.xxhash64("k"), "k").limit(SAMPLE).distinct()
-    model = Prose([r.t for r in own.join(F.broadcast(ids), "k", "left_semi").orderBy("k").limit(SAMPLE).collect()])
-    sent = pages.sparkSession.sparkContext.broadcast(model)
+    sent = pages.sparkSession.sparkContext.broadcast(trained(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
