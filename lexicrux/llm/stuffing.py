@@ -33,7 +33,8 @@ FREQUENT = 400
 SPREAD = 3.5
 LEAST_GAIN = 1.0
 CACHE = 0.5
-SHARE = 0.5
+#: More than a half, as a segment counts whole and odd sentences count as well.
+SHARE = 0.65
 #: Cells of a histogram of scores, and their width.
 CELLS, WIDTH = 4000, 0.005
 
@@ -49,7 +50,7 @@ their his her under before after between
 SIGNS = list(".,;:?!|-–—/\"“”()[]<>#»•*&%='")
 SHAPES = ["url", "tag", "markup", "initials", "number", "capitals", "sign", "line"]
 WORD_RUN, NAME_RUN = 14, 6
-TOKEN = re.compile(r"https?://\S+|www\.\S+|#\w+|<a\b|</a>|(?:\w\.)+\w\b|\d[\d.,/:\-]*\w*|\w+|[^\w\s]|\n")
+TOKEN = re.compile(r"https?://\S+|www\.\S+|#\w+|<a\b|</a>|(?:\w\.)+\w\b|\d(?:[\d.,/:\-]*\d)?\w*|\w+|[^\w\s]|\n")
 #: Words of a sentence that the model learns from, and the function words a list line must hold.
 SENTENCE, LISTED = (6, 150), 2
 
@@ -138,6 +139,9 @@ class Prose:
         after = np.concatenate([cls[1:], [line]])
         # a mark at the line's end ends a sentence, and one before a capital
         ends = (kind & 2 > 0) | ((kind & 1 > 0) & ((after == line) | np.concatenate([capital[1:], [True]])))
+        # the number of a list line, `Điều 1.` or `1.`, opens what follows
+        opens = np.concatenate([[True, True], cls == line])
+        ends &= (kind & 2 > 0) | (np.concatenate([[-1], cls[:-1]]) != self.shape["number"]) | ~(opens[:-2] | np.concatenate([[True], opens[:-3]]))
         edge = np.flatnonzero(ends) + 1
         first, last = np.concatenate([[0], edge[:-1]]), edge
         if not len(edge):
