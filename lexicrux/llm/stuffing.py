@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexicrux.staging import bounded, stage
+
 SEGMENT = 24
 FREQUENT = 400
 SPREAD = 3.5
@@ -37,6 +39,7 @@ CACHE = 0.5
 SHARE = 0.65
 #: Cells of a histogram of scores, and their width.
 CELLS, WIDTH = 4000, 0.005
+PAGES = 256
 
 # fixed values: function words of Vietnamese and English
 FUNCTION_WORDS = """
@@ -66,7 +69,6 @@ class Prose:
         self.word = n + len(SHAPES)
         self.name = self.word + WORD_RUN
         self.size = self.name + NAME_RUN
-        self.high = self.low = float("inf")
         self._tables()
 
     def _tables(self) -> None:
@@ -116,86 +118,95 @@ class Prose:
             return self.shape["capitals"]
         return self.name if c.isupper() else self.word
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, identity and whether it begins with a capital, of each token."""
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Class, identity and whether it begins with a capital, of all tokens of some pages, and the first token of each page
+        (and the end of the last)."""
         if len(self.cache) > 300_000:
             self.cache.clear()
-        a = np.fromiter(chain.from_iterable(map(self.cache.__getitem__, text.replace("\n", " \n ").split(" "))), np.int64)
+        look, rows, size = self.cache.__getitem__, [], [0]
+        for t in texts:
+            row = list(chain.from_iterable(map(look, t.replace("\n", " \n ").split(" "))))
+            rows += row
+            size.append(len(row))
+        a, page = np.array(rows, np.int64), np.cumsum(size)
         cls, word, capital = (a & 0xFFFF).astype(np.int32), a >> 17, (a >> 16 & 1).astype(bool)
         at = np.arange(len(a))
         for base, most in ((self.word, WORD_RUN), (self.name, NAME_RUN)):
             m = cls == base
             if m.any():
-                place = at - np.maximum.accumulate(np.where(m, -1, at)) - 1
+                last = np.where(m, -1, at)
+                last[page[:-1][page[:-1] < len(a)]] = np.maximum(last[page[:-1][page[:-1] < len(a)]], page[:-1][page[:-1] < len(a)] - 1)
+                place = at - np.maximum.accumulate(last) - 1
                 cls = np.where(m, base + np.minimum(place, most - 1), cls)
-        return cls, word, capital
+        return cls, word, capital, page
 
-    def prose(self, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Sentences and list lines of a page (classes, identities): what the model learns from."""
-        cls, word, capital = self.tokens(text)
+    def prose(self, cls: np.ndarray, capital: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sentences and list lines of the pages: the tokens the model learns from, and which of these are a sentence's first."""
         if not len(cls):
-            return []
-        kind, line = self.kind[cls], self.shape["line"]
-        after = np.concatenate([cls[1:], [line]])
-        # a mark at the line's end ends a sentence, and one before a capital
-        ends = (kind & 2 > 0) | ((kind & 1 > 0) & ((after == line) | np.concatenate([capital[1:], [True]])))
-        # the number of a list line, `Điều 1.` or `1.`, opens what follows
-        opens = np.concatenate([[True, True], cls == line])
-        ends &= (kind & 2 > 0) | (np.concatenate([[-1], cls[:-1]]) != self.shape["number"]) | ~(opens[:-2] | np.concatenate([[True], opens[:-3]]))
-        edge = np.flatnonzero(ends) + 1
-        first, last = np.concatenate([[0], edge[:-1]]), edge
-        if not len(edge):
-            return []
-        bad = np.add.reduceat(kind & 4 > 0, first)
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        n, kind, line = len(cls), self.kind[cls], self.shape["line"]
+        closing = np.zeros(n, bool)  # the last token of a page
+        closing[page[1:][page[1:] > 0] - 1] = True
+        breaks = (kind & 2 > 0) | closing
+        # a mark at the line's end ends a sentence, and one before a capital; the number of a list line, `Điều 1.`, opens what follows
+        opens = np.concatenate([[True, True], breaks])  # opens[i + 1]: token i begins a line
+        listed = (np.concatenate([[-1], cls[:-1]]) == self.shape["number"]) & (opens[:-2] | np.concatenate([[True], opens[:-3]]))
+        ends = breaks | ((kind & 1 > 0) & (np.concatenate([cls[1:] == line, [True]]) | np.concatenate([capital[1:], [True]])) & ~listed)
+        last = np.flatnonzero(ends)
+        first = np.concatenate([[0], last[:-1] + 1])
+        bad = np.add.reduceat(kind & 4, first)
         function = np.add.reduceat((kind & 8 > 0).astype(np.int32), first)
-        out, number = [], self.shape["number"]
-        for i, j, b, f in zip(first.tolist(), last.tolist(), bad.tolist(), function.tolist()):
-            closed = kind[j - 1] & 1 > 0
-            j -= not closed
-            if not b and f and SENTENCE[0] <= j - i <= SENTENCE[1] and ((closed and capital[i]) or (f >= LISTED and number in (cls[i], cls[i + 1]))):
-                out.append((cls[i:j], word[i:j]))
-        return out
-
-    def scores(self, cls: np.ndarray) -> np.ndarray:
-        b = np.concatenate([[0, 0], cls])
-        return self.pair[b[1:-1], b[2:]] + self.skip[b[:-2], b[2:]]
-
-    def segments(self, cls: np.ndarray) -> np.ndarray:
-        """First tokens of the segments: lines put together up to SEGMENT words, longer ones cut evenly."""
-        n = len(cls)
-        edges = np.flatnonzero(cls == self.shape["line"]) + 1
-        out, at = [0], 0
-        for e in [*edges.tolist(), n]:
-            if e - at >= SEGMENT or e == n:
-                k = max(1, round((e - at) / SEGMENT))
-                out += [at + (e - at) * i // k for i in range(1, k)] + [e]
-                at = e
-        if len(out) > 2 and n - out[-2] < SEGMENT // 2:  # a short rest belongs to what is before it
-            del out[-2]
-        return np.array(sorted({x for x in out if x < n}), np.int64)
-
-    def measured(self, cls: np.ndarray, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mean score of each segment, what the cache takes off it, and its length."""
-        n = len(cls)
-        length = np.diff(np.concatenate([first, [n]]))
-        score = self.scores(cls)
-        where = np.repeat(np.arange(len(first), dtype=np.int64), length)
+        closed = kind[last] & 1 > 0
+        length = last - first + (cls[last] != line)
+        number = (cls[first] == self.shape["number"]) | (cls[np.minimum(first + 1, n - 1)] == self.shape["number"])
+        good = (bad == 0) & (function > 0) & (length >= SENTENCE[0]) & (length <= SENTENCE[1]) & ((closed & capital[first]) | ((function >= LISTED) & number))
+        keep = np.repeat(good, last - first + 1) & (cls != line)
+        begins = np.zeros(n, bool)
+        begins[first] = True
+        at = np.flatnonzero(keep)
+        return at, begins[at]
+
+    @staticmethod
+    def context(cls: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The classes one and two places before each token, 0 before a beginning."""
+        one = np.concatenate([[0], cls[:-1]])
+        two = np.concatenate([[0, 0], cls[:-2]])[: len(cls)]
+        one[begins] = 0
+        two[begins | np.concatenate([[True], begins[:-1]])] = 0
+        return one, two
+
+    def measured(self, cls: np.ndarray, word: np.ndarray, begins: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the segments that begin at `first`: mean score, what the cache takes off it, and length."""
+        length = np.diff(np.concatenate([first, [len(cls)]]))
+        one, two = self.context(cls, begins)
+        score = self.pair[one, cls] + self.skip[two, cls]
+        where = np.repeat(np.arange(len(first), dtype=np.int64), length) * 0x1F123BB5
         before = np.concatenate([[0], word[:-1]])
         before[first] = 0
-        key = (before * 0x9E3779B1 ^ word) * 0x85EBCA77 + where
-        seen, of = _earlier(key), _earlier(before * 0x9E3779B1 + where)
-        cached = -np.log(CACHE * seen / (of + 1.0) + (1 - CACHE) * np.exp(-np.minimum(score, 20)))
-        gain = np.maximum(score - cached, 0)
+        seen, of = _earlier((before * 0x9E3779B1 ^ word) * 0x85EBCA77 + where), _earlier(before * 0x9E3779B1 + where)
+        gain = np.zeros(len(cls), np.float32)
+        at = np.flatnonzero(seen)
+        cached = -np.log(CACHE * seen[at] / (of[at] + 1) + (1 - CACHE) * np.exp(-score[at]))
+        gain[at] = np.maximum(score[at] - cached, 0)
         return np.add.reduceat(score, first) / length, np.add.reduceat(gain, first) / length, length
 
-    def share(self, text: str) -> float:
-        """Share of the page's words that stand in stuffing."""
-        cls, word, _ = self.tokens(text)
-        if not len(cls):
-            return 0.0
-        mean, gain, length = self.measured(cls, word, self.segments(cls))
-        bad = (mean > self.high) | ((gain > self.low) & (length >= SEGMENT // 2))
-        return float(length[bad].sum() / len(cls))
+    def segments(self, cls: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens of the segments of all pages, and how many each page has: lines put together up to SEGMENT words,
+        longer ones cut evenly."""
+        edges = np.flatnonzero(cls == self.shape["line"]) + 1
+        out, many = [], []
+        for lo, hi in zip(page[:-1].tolist(), page[1:].tolist()):
+            own, at = [lo], lo
+            for e in [*edges[np.searchsorted(edges, lo, "right") : np.searchsorted(edges, hi, "left")].tolist(), hi]:
+                if e - at >= SEGMENT or e == hi:
+                    k = max(1, round((e - at) / SEGMENT))
+                    own += [at + (e - at) * i // k for i in range(1, k)] + [e]
+                    at = e
+            if len(own) > 2 and hi - own[-2] < SEGMENT // 2:  # a short rest belongs to what is before it
+                del own[-2]
+            out += own[:-1]
+            many.append(len(own) - 1)
+        return np.array(out, np.int64), np.array(many, np.int64)
 
 
 class _Known(dict):
@@ -206,17 +217,23 @@ class _Known(dict):
         self.model = model
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        out = self[chunk] = tuple((hash(t) & 0x3FFFFFFFFFFF) << 17 | t[0].isupper() << 16 | self.model.classed(t) for t in TOKEN.findall(chunk))
+        if chunk.isdigit():
+            out = ((hash(chunk) & 0x3FFFFFFFFFFF) << 17 | self.model.shape["number"],)
+        else:
+            out = tuple((hash(t) & 0x3FFFFFFFFFFF) << 17 | t[0].isupper() << 16 | self.model.classed(t) for t in TOKEN.findall(chunk))
+        self[chunk] = out
         return out
 
 
 def _earlier(key: np.ndarray) -> np.ndarray:
     """How often each element stood there before."""
-    order = np.argsort(key, kind="stable")
-    s = key[order]
+    n = len(key)
+    bits = max(1, n.bit_length())
+    packed = np.sort((key << bits) | np.arange(n))  # sorted with their places; the bits lost are those of a hash
+    order, s = packed & ((1 << bits) - 1), packed >> bits
     new = np.concatenate([[True], s[1:] != s[:-1]])
-    at = np.arange(len(s))
-    out = np.empty(len(s), np.float32)
+    at = np.arange(n)
+    out = np.empty(n, np.float32)
     out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
     return out
 
@@ -247,43 +264,74 @@ def frequent(pages: DataFrame) -> list[str]:
     return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
 
 
-def _summed(pages: DataFrame, model: Prose, cells: int, counted) -> np.ndarray:
-    """Sum over all partitions of counted(model, text, table), a table of so many cells."""
+def _blocks(col: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Pages of a batch, a few at a time: the first one's place, and the texts."""
+    for lo in range(0, len(col), PAGES):
+        yield lo, col.slice(lo, PAGES).to_pylist()
+
+
+def counted(pages: DataFrame, model: Prose) -> Prose:
+    """The model with its word pairs counted over all pages."""
     sent = pages.sparkSession.sparkContext.broadcast(model)
+    n = model.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, table = sent.value, np.zeros(cells, np.int64)
+        m, table = sent.value, np.zeros(2 * n * n, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counted(m, t, table)
+            for _, texts in _blocks(batch.column(0)):
+                cls, _, capital, page = m.tokens(texts)
+                at, begins = m.prose(cls, capital, page)
+                if len(at):
+                    own = cls[at].astype(np.int64)
+                    one, two = m.context(own, begins)
+                    table += np.bincount(np.concatenate([one * n + own, n * n + two * n + own]), minlength=2 * n * n)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], ["at", "n"])
 
     rows = pages.select("t").mapInArrow(run, "at INT, n BIGINT").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(cells, np.int64)
-    out[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
-    return out
+    both = np.zeros(2 * n * n)
+    both[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    return model.counted(*both.reshape(2, n, n))
 
 
-def _pairs(m: Prose, text: str, table: np.ndarray) -> None:
-    n = m.size
-    for cls, _ in m.prose(text):
-        b = np.concatenate([[0, 0], cls]).astype(np.int64)
-        np.add.at(table, b[1:-1] * n + b[2:], 1)
-        np.add.at(table, n * n + b[:-2] * n + b[2:], 1)
-
+def measured(pages: DataFrame, model: Prose) -> DataFrame:
+    """Of each page (k, t) its segments (mean score, gain, words); and rows without a page that count the scores of the
+    training prose: at (cell of the histogram), n."""
+    sent = pages.sparkSession.sparkContext.broadcast(model)
+    kind = dict(pages.dtypes)["k"]
+    part = pa.list_(pa.struct([("mean", pa.float32()), ("gain", pa.float32()), ("words", pa.int32())]))
 
-def _spread(m: Prose, text: str, table: np.ndarray) -> None:
-    rows = m.prose(text)
-    if rows:
-        cls, word = (np.concatenate(x) for x in zip(*rows))
-        size = np.array([len(c) for c, _ in rows])
-        start = np.cumsum(size) - size
-        k = np.maximum(1, np.round(size / SEGMENT).astype(np.int64))
-        first = np.concatenate([a + n * np.arange(c) // c for a, n, c in zip(start.tolist(), size.tolist(), k.tolist())])
-        mean, gain, _ = m.measured(cls, word, first)
-        for x, base in ((mean, 0), (gain, CELLS)):
-            np.add.at(table, base + np.minimum((x / WIDTH).astype(np.int64), CELLS - 1), 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, cells, own = sent.value, np.zeros(2 * CELLS, np.int64), None
+        for batch in batches:
+            own = batch.column(0).type
+            for lo, texts in _blocks(batch.column(1)):
+                cls, word, capital, page = m.tokens(texts)
+                first, many = m.segments(cls, page) if len(cls) else (np.zeros(0, np.int64), np.zeros(len(texts), np.int64))
+                if len(first):
+                    begins = np.zeros(len(cls), bool)
+                    begins[page[:-1][page[:-1] < len(cls)]] = True
+                    mean, gain, length = m.measured(cls, word, begins, first)
+                    at, begins = m.prose(cls, capital, page)
+                    if len(at):
+                        start = np.flatnonzero(begins)
+                        size = np.diff(np.concatenate([start, [len(at)]]))
+                        k = np.maximum(1, np.round(size / SEGMENT).astype(np.int64))
+                        nth = (np.arange(len(at)) - np.repeat(start, size)) * np.repeat(k, size) // np.repeat(size, size)
+                        turn = np.flatnonzero(begins | (np.diff(nth, prepend=-1) != 0))
+                        for x, base in zip(m.measured(cls[at], word[at], begins, turn)[:2], (0, CELLS)):
+                            cells += np.bincount(base + np.minimum((x / WIDTH).astype(np.int64), CELLS - 1), minlength=2 * CELLS)
+                else:
+                    mean = gain = length = np.zeros(0)
+                flat = pa.StructArray.from_arrays([pa.array(mean, pa.float32()), pa.array(gain, pa.float32()), pa.array(length, pa.int32())], ["mean", "gain", "words"])
+                rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), flat)
+                empty = pa.nulls(len(texts), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, PAGES), rows, empty, empty.cast(pa.int64())], ["k", "parts", "at", "n"])
+        if own is not None:
+            at = np.flatnonzero(cells)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), own), pa.nulls(len(at), part), pa.array(at, pa.int32()), pa.array(cells[at], pa.int64())], ["k", "parts", "at", "n"])
+
+    return pages.select("k", "t").mapInArrow(run, f"k {kind}, parts ARRAY<STRUCT<mean: FLOAT, gain: FLOAT, words: INT>>, at INT, n BIGINT")
 
 
 def _limit(cells: np.ndarray) -> float:
@@ -294,30 +342,17 @@ def _limit(cells: np.ndarray) -> float:
     return float(max(mid + SPREAD * (high - mid), 2 * mid))
 
 
-def trained(pages: DataFrame) -> Prose:
-    """The model of a table of pages (column t)."""
-    model = Prose(frequent(pages))
-    n = model.size
-    both = _summed(pages, model, 2 * n * n, _pairs).reshape(2, n, n)
-    model.counted(both[0], both[1])
-    cells = _summed(pages, model, 2 * CELLS, _spread)
-    if cells.any():
-        model.high, model.low = _limit(cells[:CELLS]), max(LEAST_GAIN, _limit(cells[CELLS:]))
-    return model
-
-
 def stuffed(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and the share of its words that stand in stuffing, for every page that has words."""
     own = pages.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"\S"))
-    kind = dict(own.dtypes)["k"]
-    sent = pages.sparkSession.sparkContext.broadcast(trained(own))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.share(t) for t in batch.column(1).to_pylist()], pa.float64())], ["k", "stuffing"])
-
-    return own.mapInArrow(run, f"k {kind}, stuffing DOUBLE").withColumnRenamed("k", key)
+    scored = stage(measured(own, counted(own, Prose(frequent(own)))))
+    cells = np.zeros(2 * CELLS, np.int64)
+    for r in bounded(scored.where("at IS NOT NULL").groupBy("at").agg(F.sum("n").alias("n")), 2 * CELLS, "the cells"):
+        cells[r["at"]] = r["n"]
+    high, low = (_limit(cells[:CELLS]), max(LEAST_GAIN, _limit(cells[CELLS:]))) if cells.any() else (float("inf"), float("inf"))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x["words"])
+    bad = F.filter("parts", lambda x: (x["mean"] > high) | ((x["gain"] > low) & (x["words"] >= SEGMENT // 2)))
+    return scored.where("at IS NULL AND size(parts) > 0").select(F.col("k").alias(key), (total(bad) / total(F.col("parts"))).alias("stuffing"))
 
 
 def p10_scores(spark, d: str) -> DataFrame:
