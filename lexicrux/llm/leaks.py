@@ -1,14 +1,16 @@
 """Problem 9: held-out items inside training text.
 
-A generalised suffix automaton of the normalised items is built on the driver (items are a small fixed table, refused
-above MOST_ITEMS rows or MOST_WORDS words) and sent once to each Python worker. Pages are streamed through it; wherever the
-longest match has LEAST words or more, the items that hold its last LEAST words are reported and the span can be removed.
+A generalised suffix automaton of the normalised items is built on the driver and sent once to each Python worker. Items of
+more than MOST_WORDS words in all are spread by hash over several automata, built, sent and gone through one after the
+other, so that neither the driver nor a worker holds more than one. Pages are streamed through; wherever the longest match
+has LEAST words or more, the items that hold its last LEAST words are reported and the span can be removed.
 
 Words are longest runs of letters and digits; case, accents and what stands between words don't matter. A run of LEAST
 words none of which is missing from the items' vocabulary is needed for a match, so only such runs enter the automaton.
 
 Defined results: null and empty texts match nothing; items of fewer than LEAST words match nothing; items or pages repeated
-are reported each; ties don't arise, every item that shares a run is reported."""
+are reported each; ties don't arise, every item that shares a run is reported. One item alone of more than 4 MOST_WORDS
+words is refused."""
 
 from __future__ import annotations
 
@@ -20,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexicrux.staging import bounded
+from lexicrux.staging import stage
 
 LEAST = 12
-MOST_ITEMS, MOST_WORDS = 20_000, 4_000_000
+#: Words of the items in one automaton, about.
+MOST_WORDS = 500_000
 _FOLD: list[np.ndarray] = []
 
 
@@ -144,57 +147,95 @@ class Automaton:
                         yield self.top[v], at + 1 - n, at + 1
 
 
+def automata(items: DataFrame, item: str, item_text: str, least: int) -> Iterator[Automaton]:
+    """Automata over all items, as many as their words need; none if no item can share a run."""
+    own = items.where(F.col(item).isNotNull() & (F.length(item_text) > 2 * least - 2)).select(F.col(item).alias("i"), F.col(item_text).alias("t"))
+    # a word takes two characters at least, four and a half in most languages; hashing spreads the rest
+    chars = own.agg(F.sum(F.length("t"))).first()[0] or 0
+    n = -(-chars // (3 * MOST_WORDS))
+    for shard in range(n):
+        normal = [(r.i, words(r.t)) for r in own.where(F.pmod(F.xxhash64("i"), F.lit(n)) == shard).toLocalIterator()]
+        if (size := sum(len(w) for _, w in normal)) > 4 * MOST_WORDS:
+            raise ValueError(f"an item is too long: {size} words in one automaton")
+        yield Automaton(normal, least)
+
+
 def leaked(pages: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
     """One row per page and item that share `least` words in a row: key, item, words in common runs, longest run."""
-    rows = bounded(items.where(F.col(item_text).isNotNull() & F.col(item).isNotNull()).select(item, item_text), MOST_ITEMS, "the items")
-    normal = [(r[0], words(r[1])) for r in rows]
-    if (n := sum(len(w) for _, w in normal)) > MOST_WORDS:
-        raise ValueError(f"the items have {n} words; one automaton takes {MOST_WORDS}")
-    sent = pages.sparkSession.sparkContext.broadcast(Automaton(normal, least))
     kinds = dict(pages.select(key).dtypes)[key], dict(items.select(item).dtypes)[item]
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = sent.value
-        for batch in batches:
-            out: list[tuple] = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hit: dict[int, list[int]] = {}
-                for v, i, j in auto.runs(words(t)):
-                    for n in auto.owners[v]:
-                        at = hit.setdefault(n, [0, 0, -1])
-                        at[0] += j - max(at[2], j - auto.least)
-                        at[1], at[2] = max(at[1], j - i), j
-                out += [(k, auto.ids[n], at[0], at[1]) for n, at in hit.items()]
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], arrow[kinds[0]]), pa.array(cols[1], arrow[kinds[1]]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["k", "i", "shared_words", "longest_run"])
-
+    schema = f"k {kinds[0]}, i {kinds[1]}, shared_words INT, longest_run INT"
     found = pages.where(F.length(text) > 2 * least - 2).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return found.mapInArrow(run, f"k {kinds[0]}, i {kinds[1]}, shared_words INT, longest_run INT").withColumnsRenamed({"k": key, "i": item})
+
+    def through(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = sent.value
+            for batch in batches:
+                out: list[tuple] = []
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    hit: dict[int, list[int]] = {}
+                    for v, i, j in auto.runs(words(t)):
+                        for n in auto.owners[v]:
+                            at = hit.setdefault(n, [0, 0, -1])
+                            at[0] += j - max(at[2], j - auto.least)
+                            at[1], at[2] = max(at[1], j - i), j
+                    out += [(k, auto.ids[n], at[0], at[1]) for n, at in hit.items()]
+                cols = list(zip(*out)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], arrow[kinds[0]]), pa.array(cols[1], arrow[kinds[1]]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["k", "i", "shared_words", "longest_run"])
+
+        return run
+
+    out, before = None, None
+    for auto in automata(items, item, item_text, least):
+        if before is not None:  # the last one is done with before the next is built
+            before = stage(before)
+            out = before if out is None else out.unionByName(before)
+        before = found.mapInArrow(through(pages.sparkSession.sparkContext.broadcast(auto)), schema)
+    if before is None:
+        out = pages.sparkSession.createDataFrame([], schema)
+    else:
+        out = before if out is None else out.unionByName(before)
+    return out.withColumnsRenamed({"k": key, "i": item})
 
 
 def cleaned(pages: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST, drop_share: float = 0.5) -> DataFrame:
     """Pages without the leaked spans: key, clean_text (null where leaked words make more than drop_share of the page),
     removed_words. Pages without a leak come out as they are."""
-    rows = bounded(items.where(F.col(item_text).isNotNull() & F.col(item).isNotNull()).select(item, item_text), MOST_ITEMS, "the items")
-    sent = pages.sparkSession.sparkContext.broadcast(Automaton([(r[0], words(r[1])) for r in rows], least))
     kind = dict(pages.select(key).dtypes)[key]
+    part = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
+    schema = f"k {kind}, t STRING, spans ARRAY<STRUCT<i: INT, j: INT>>"
+
+    def through(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = sent.value
+            for batch in batches:
+                out = []
+                for t, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    spans = known or []
+                    for _, i, j in auto.runs(words(t)) if t is not None else ():
+                        if spans and i <= spans[-1]["j"] <= j:
+                            spans[-1] = {"i": min(i, spans[-1]["i"]), "j": j}
+                        else:
+                            spans.append({"i": i, "j": j})
+                    out.append(spans)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, part)], ["k", "t", "spans"])
+
+        return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = sent.value
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
-            for t in batch.column(1).to_pylist():
-                spans, n = [], 0
-                if t is not None and any(True for _ in auto.runs(words(t))):
+            for t, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                n = 0
+                if found:
                     ws, first, end = word_spans(t)
-                    for _, i, j in auto.runs(ws):
+                    spans: list[tuple[int, int]] = []
+                    for i, j in sorted((s["i"], s["j"]) for s in found):
                         if spans and i <= spans[-1][1]:
-                            spans[-1] = (min(i, spans[-1][0]), j)
+                            spans[-1] = (spans[-1][0], max(j, spans[-1][1]))
                         else:
                             spans.append((i, j))
-                    n = sum(j - i for i, j in spans)
-                    keep, at = [], 0
+                    n, keep, at = sum(j - i for i, j in spans), [], 0
                     for i, j in spans:
                         keep.append(t[at : first[i]])
                         at = end[j - 1]
@@ -203,7 +244,11 @@ def cleaned(pages: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                 removed.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["k", "clean_text", "removed_words"])
 
-    return pages.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, clean_text STRING, removed_words INT").withColumnRenamed("k", key)
+    own, first = pages.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(None).cast("array<struct<i:int,j:int>>").alias("spans")), True
+    for auto in automata(items, item, item_text, least):
+        own = (own if first else stage(own)).mapInArrow(through(pages.sparkSession.sparkContext.broadcast(auto)), schema)
+        first = False
+    return own.mapInArrow(cut, f"k {kind}, clean_text STRING, removed_words INT").withColumnRenamed("k", key)
 
 
 def p9_runs(spark, d: str) -> DataFrame:
@@ -219,4 +264,10 @@ def p9_cleaned(spark, d: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_runs": p9_runs, "p9_cleaned": p9_cleaned}
-SQL: dict[str, str] = {}
+_WORDS = r"""
+WITH n AS (SELECT doc_id, list_filter(string_split_regex(strip_accents(replace(lower(text), 'đ', 'd')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+m AS (SELECT item_id, list_filter(string_split_regex(strip_accents(replace(lower(text), 'đ', 'd')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM m WHERE len(w) >= 12)),
+h AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM n WHERE len(w) >= 12))
+"""
+SQL = {"p9_found": _WORDS + "SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (g)"}

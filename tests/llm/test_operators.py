@@ -403,7 +403,7 @@ def fold(text):
     return re.findall(r"[^\W_]+", s)
 
 
-def test_leaks_against_brute_force(spark):
+def test_leaks_against_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     vocab = "thuyền bến chợ gạo muối lò gốm đò ná tre mộc sen rơm".split()
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(5, 40)))) for i in range(25)] + [(99, None), (98, ""), (3, "bản ghi khác dưới cùng số")]
@@ -423,6 +423,11 @@ def test_leaks_against_brute_force(spark):
     clean = {r.doc_id: r for r in leaks.cleaned(docs(spark, pages), it, drop_share=1.0).collect()}
     assert all(not any(grams(fold(clean[p].clean_text)) & grams(fold(s)) for _, s in items if s) or clean[p].removed_words for p, t in pages if t)
     assert clean[200].clean_text is None and clean[201].clean_text == ""
+    one = {(r.doc_id, r.clean_text, r.removed_words) for r in leaks.cleaned(docs(spark, pages), it).collect()}
+    monkeypatch.setattr(leaks, "MOST_WORDS", 200)  # several automata, one after the other
+    assert sum(1 for _ in leaks.automata(it, "item_id", "text", 12)) > 3
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked(docs(spark, pages), it).collect()} == want
+    assert {(r.doc_id, r.clean_text, r.removed_words) for r in leaks.cleaned(docs(spark, pages), it).collect()} == one
     assert leaks.leaked(docs(spark, []), it).count() == 0
     assert leaks.leaked(docs(spark, pages), it.limit(0)).count() == 0
 
