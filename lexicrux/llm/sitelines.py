@@ -1,8 +1,9 @@
 """Problem 7: lines that a site puts into many of its documents.
 
 Every line goes down a token tree of fixed depth: site, number of tokens, first DEPTH tokens (tokens with a digit and
-initials are slots at once). In the leaf node it ends at, every place of the line keeps the tokens that SHARE of the node's
-lines have there, and becomes a wildcard slot for the others: that is the line's template. Trees are counted in each
+initials are slots at once). In the leaf node it ends at, the line's tokens are taken as PLACES runs of equal length (single
+tokens in lines of up to PLACES); every place keeps the tokens that SHARE of the node's lines have there, and becomes a
+wildcard slot for the others: that is the line's template. Trees are counted in each
 partition and merged by adding up the counts of equal places, so that templates don't depend on how rows are spread.
 Templates that cover fewer than least_docs documents of the site are dropped; what remains is
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lexicrux.staging import stage, unstage
 
-DEPTH = 3
+DEPTH, PLACES = 3, 16
 SHARE, FIXED = 0.3, 0.6
 LEAST_CHARS, LEAST_DOCS = 30, 4
 SLOT = r"[^ ]*[0-9][^ ]*|(?<![^ ])(?:\p{L}\.)+\p{L}(?![^ ])"
@@ -33,14 +34,16 @@ def normal(line: Column) -> Column:
 
 
 def parsed(docs: DataFrame, key: str, site: str, text: str, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Lines as leaves: key, line_no, hash of the line, node of the tree, hashes of its tokens (0: a slot at once)."""
+    """Lines as leaves: key, line_no, hash of the line, node of the tree, hashes of its places (0: a slot at once)."""
     lines = docs.where(F.col(site).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(site).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
     # a line cannot grow by normalisation (a few letters may, by one character each): short ones go before the costly part
     lines = lines.where(F.length("raw") * 2 >= least_chars).withColumn("line", normal(F.col("raw"))).where(F.length("line") >= least_chars)
     tokens = F.split(F.regexp_replace("line", SLOT, "<*>"), " ")
     lines = lines.select("k", (F.col("pos") + 1).cast("int").alias("line_no"), "site", F.xxhash64("line").alias("line"), tokens.alias("t"))
     node = F.xxhash64("site", F.size("t"), F.slice("t", 1, DEPTH)).alias("node")
-    return lines.select("k", "line_no", F.xxhash64("site", "line").alias("line"), node, F.transform("t", lambda x: F.when(x == "<*>", 0).otherwise(F.hash(x))).alias("toks"))
+    step = F.ceil(F.size("t") / PLACES).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size("t") / step).cast("int") - 1), lambda i: F.slice("t", i * step + 1, step))
+    return lines.select("k", "line_no", F.xxhash64("site", "line").alias("line"), node, F.transform(runs, lambda x: F.when(x == F.array(F.lit("<*>")), 0).otherwise(F.hash(x))).alias("toks"))
 
 
 def templated(docs: DataFrame, key: str = "rec_no", site: str = "court", text: str = "full_text", least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS) -> DataFrame:
