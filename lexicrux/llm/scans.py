@@ -4,7 +4,9 @@ An averaged-perceptron editor decides at every doubtful character: keep, replace
 the lines. Doubtful are digits and marks among letters, break marks at line ends, line ends themselves, and places inside an
 unknown word at which two known words meet. Only replaced characters count as misread. A second averaged
 perceptron decides which lines are page furniture, from their form and from where they stand (place in the text, repetition
-of their form, how the neighbouring lines go on). Both are trained on a bounded sample (SAMPLE texts, least by hash): known
+of their form, how the neighbouring lines go on): lines whose form is there again, lines that stand inside a sentence, and
+short lines with a number are asked about. Both are trained on a bounded sample (SAMPLE texts, least by hash; of these the
+WORDS most frequent words, and ALIKE tokens of each form): known
 words and lines of the sample, damaged by the noise model below (letters misread, marks strewn in, blanks lost, words and
 paragraphs broken), against the sample's own words, codes, amounts and lines.
 Word frequencies are counted over both whole tables.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from lexicrux.llm.encoding import EDGE, LETTERS, Decoder, fields, fitted
 
 SAMPLE = 400
+WORDS, ALIKE = 2000, 20
 LEAST_MISREAD = 3
 # fixed values: what scanning makes of letters
 CONFUSIONS = {
@@ -48,6 +51,7 @@ NOT_LETTERS, NOT_DIGITS = re.compile(r"[\W\d_]+"), re.compile(r"\D+")
 SENTENCE_END = (".", ";", ":", "?", "!", "…")
 VOWEL = re.compile("[" + "".join(c for c in LETTERS if c != "đ") + "]", re.I)
 WIDE = 130
+MASKED = str.maketrans("123456789", "000000000")
 
 
 class Perceptron:
@@ -171,7 +175,7 @@ class Editor:
     def _char_examples(self, texts: list[str], rng: random.Random) -> list:
         out = []
         words = [w for w in self.log if any(c in CONFUSIONS or c in TONED for c in w) and len(w) > 1]
-        words = sorted(words, key=lambda w: (-self.log[w], w))[:2000]
+        words = sorted(words, key=lambda w: (-self.log[w], w))[:WORDS]
         for w in words:
             for _ in range(3):
                 shown = w if rng.random() < 0.8 else w.capitalize() if rng.random() < 0.5 else w.upper()
@@ -188,7 +192,7 @@ class Editor:
                     if sum(c.isdigit() for c in core) > 1 or "/" in core or self.known(core):
                         shape = re.sub(r"\d", "0", tok)
                         taken[shape] += 1
-                        if taken[shape] <= 20:
+                        if taken[shape] <= ALIKE:
                             f, options = self.char_features(tok, m.start())
                             out.append((f, options, "keep"))
         for w in rng.sample(words, min(300, len(words))):
@@ -203,7 +207,7 @@ class Editor:
 
     def words(self) -> list[str]:
         """The most frequent words of two letters or more with a vowel."""
-        return sorted((w for w in self.log if len(w) > 1 and VOWEL.search(w)), key=lambda w: (-self.log[w], w))[:2000]
+        return sorted((w for w in self.log if len(w) > 1 and VOWEL.search(w)), key=lambda w: (-self.log[w], w))[:WORDS]
 
     @staticmethod
     def shown(word: str, rng: random.Random) -> str:
@@ -417,20 +421,31 @@ class Editor:
             f"n={n}", f"first={first}", f"last={last}", f"first2={' '.join(rest.split()[:2])}", f"digits={min(digits, 6)}", f"letters={min(letters, 8)}",
             f"bare={letters == 0},{ended}", f"form={re.sub(r'[^\W\d_]+', 'w', rest)[:24]}", f"ended={ended},{case is not None}", f"case={case is not None},{n}",
             f"lower={s[:1].islower()},{ended}", f"again={min(again, 3)},{ended}", f"top={min(top, 2)}", f"top={min(top, 2)},{case is not None},{':' in s}",
+            f"numbered={NUMBERED.search(s) is not None},{min(again, 2)},{bool(before) and before[-1:] not in '.;:'},{after[:1].islower()}", f"long={len(s) > 90},{min(again, 2)}",
             f"broken={bool(before) and before[-1:] not in '.;:'},{ended}", f"goes={after[:1].islower()},{before[-1:] in '.;:'}", f"signs={''.join(c for c in s if c in '*–-[]:|')[:4]}", f"colon={':' in s}", f"plain={ended and s[:1].islower()}",
         ]
 
     @staticmethod
-    def short_lines(lines: list[str]) -> list[int]:
-        """Lines that could be furniture: short, with a number."""
-        return [i for i, x in enumerate(lines) if x and len(x) <= 90 and x.count(" ") < 16 and NUMBERED.search(x)]
+    def candidates(lines: list[str]) -> list[int]:
+        """Lines (stripped) that could be furniture: their form is there again, they stand inside a sentence, or they are short and
+        hold a number."""
+        forms = [x.translate(MASKED) for x in lines]
+        again = Counter(forms)
+        out, full = [], [i for i, x in enumerate(lines) if x]
+        for at, i in enumerate(full):
+            x = lines[i]
+            if again[forms[i]] > 1 or (len(x) <= 90 and NUMBERED.search(x)):
+                out.append(i)
+            elif 0 < at < len(full) - 1 and not x[0].islower() and lines[full[at + 1]][0].islower() and lines[full[at - 1]][-1] not in ".;:?!…" and len(x) < len(lines[full[at - 1]]):
+                out.append(i)
+        return out
 
     def furniture_lines(self, text: str) -> list[int]:
         """Numbers (from 0) of the lines that are page numbers or headers only."""
         lines = [x.strip() for x in text.split("\n")]
         if len(lines) < 2:
             return []
-        maybe = self.short_lines(lines)
+        maybe = self.candidates(lines)
         if not maybe:
             return []
         shapes = Counter(self.shape(CASE.sub("N", lines[i])) for i in maybe)
@@ -451,6 +466,8 @@ class Editor:
             pages = rng.randint(2, 30)
             page = rng.choice([lambda k: f"{k}", lambda k: f"- {k} -", lambda k: f"[{k}]", lambda k: f"trang {k}", lambda k: f"Trang {k}/{pages}", lambda k: f"Tờ {k} / {pages}", lambda k: f"{k}/{pages}", lambda k: f"– {k} –", lambda k: f"Page {k}"])
             head = rng.choice([f"BA {number}", f"Bản án số {number} – {court}", f"{court} * hồ sơ {number}", f"{court} – {number}", f"Hồ sơ {number}", f"Bản án {number} | {court}"])
+            if rng.random() < 0.2:  # a header without a number, or a long one
+                head = rng.choice([court, f"{court} – bản án", f"{court}, {rng.choice(names)}, {rng.choice(names)}, bản án của vụ án hình sự sơ thẩm xét xử công khai tại trụ sở tòa án"])
             if rng.random() < 0.15:
                 head = head.upper()
             step, mixed, made = max(1, rng.choice([3, 5, 8, 15, 25])), [], set()
@@ -473,10 +490,10 @@ class Editor:
                 mixed.insert(0, page(1))
                 made = {0} | {i + 1 for i in made}
             mixed = [x.strip() for x in mixed]
-            maybe = self.short_lines(mixed)
+            maybe = self.candidates(mixed)
             shapes = Counter(self.shape(CASE.sub("N", mixed[i])) for i in maybe)
             for i in maybe:
-                if i in made or rng.random() < 0.5:
+                if i in made or not NUMBERED.search(mixed[i]) or rng.random() < 0.5:
                     out.append((self.line_features(mixed, i, shapes), ["keep", "drop"], "drop" if i in made else "keep"))
         return out
 

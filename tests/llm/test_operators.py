@@ -179,6 +179,17 @@ def test_wrong_decodings_are_found_and_restored(decoder, spoil):
     assert decoder.restore(bad).lower() == SENTENCE.lower()
 
 
+def test_lattices_let_paths_of_different_length_compete(decoder):
+    known = encoding.Decoder(Counter({"đồng": 90, "ông": 30, "hàng": 20, "hướng": 5, "đường": 10, "tiếng": 40}))
+    assert known.lost_letters("��ng") == "đồng" and known.lost_letters("h��ng") == "hướng"
+    edges, several, lost = known.byte_lattice("ti\u00e1\ufffdng", "latin-1")
+    assert several and lost and {j for j, _, n in edges[2]} == {3, 4} and all(n for _, _, n in edges[2])
+    assert known.from_bytes("ti\u00e1\ufffdng", "latin-1")[0] == "tiếng" and known.from_bytes("ti\u00e1ng", "latin-1") is None
+    assert known.from_bytes("abc", "latin-1") is None
+    again = __import__("pickle").loads(__import__("pickle").dumps(known))
+    assert again.lost_letters("��ng") == "đồng"
+
+
 def test_partly_wrong_and_lost(decoder):
     words_ = SENTENCE.split()
     words_[4] = words_[4].encode().decode("latin-1")
@@ -225,6 +236,16 @@ def test_noise_of_scans(editor):
     assert editor.kinds("") == [] and editor.kinds("x" * 100_000) == []
 
 
+def test_headers_without_a_number_and_long_ones(editor):
+    rows = SENTENCE.split(" ")
+    half = " ".join(rows[:12]), " ".join(rows[12:])
+    for head in ("Tòa án nhân dân huyện Bạch Đảo", "Tòa án nhân dân huyện Bạch Đảo, bản án của vụ án hình sự sơ thẩm xét xử công khai tại trụ sở của tòa án này"):
+        text = "\n".join(x for _ in range(4) for x in (half[0], head, half[1]))
+        found = editor.furniture_lines(text)
+        assert set(found) <= {1, 4, 7, 10} and len(found) >= 3
+    assert editor.furniture_lines("\n".join([SENTENCE] * 5)) == []
+
+
 def test_scan_is_repaired(editor):
     page = "Tòa án nhân dân huyện Bạch Đảo xét xử bị cáo về tội trộm cắp, buộc\nphải †rả số tiền bị thi-\nệt hại cho n9ười bị hại."
     assert editor.repair(page + "\n- 2 -\n" + page) == SENTENCE + "\n" + SENTENCE
