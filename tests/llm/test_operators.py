@@ -236,14 +236,19 @@ def test_noise_of_scans(editor):
     assert editor.kinds("") == [] and editor.kinds("x" * 100_000) == []
 
 
-def test_headers_without_a_number_and_long_ones(editor):
-    rows = SENTENCE.split(" ")
-    half = " ".join(rows[:12]), " ".join(rows[12:])
+def test_headers_without_a_number_and_long_ones(decoder):
+    rng = random.Random(4)
+    prose = lambda n: "\n".join(words(rng, rng.randint(12, 40)).capitalize() + "." for _ in range(n))
+    editor = scans.Editor(decoder, [prose(12) for _ in range(400)])
+    own = prose(8).split("\n")
     for head in ("Tòa án nhân dân huyện Bạch Đảo", "Tòa án nhân dân huyện Bạch Đảo, bản án của vụ án hình sự sơ thẩm xét xử công khai tại trụ sở của tòa án này"):
-        text = "\n".join(x for _ in range(4) for x in (half[0], head, half[1]))
-        found = editor.furniture_lines(text)
-        assert set(found) <= {1, 4, 7, 10} and len(found) >= 3
-    assert editor.furniture_lines("\n".join([SENTENCE] * 5)) == []
+        lines = []
+        for x in own:
+            half = x.split(" ")
+            lines += [" ".join(half[:6]), head, " ".join(half[6:])]
+        found = editor.furniture_lines("\n".join(lines))
+        assert set(found) <= set(range(1, 24, 3)) and len(found) >= 6
+    assert editor.furniture_lines("\n".join(own)) == []
 
 
 def test_scan_is_repaired(editor):
