@@ -122,3 +122,62 @@ def opening(facts: Column, most: int = 320, least: int = 140) -> Column:
     s = F.substring(F.regexp_replace(F.trim(F.regexp_replace(facts, r"(?isu)^.*?như sau\s*:?", "")), r"\s{2,}", " "), 1, most)
     cut = F.regexp_extract(s, rf"(?s)^(.{{{least},}}\.) ", 1)
     return F.trim(F.when(cut != "", cut).otherwise(s))
+
+
+def facts_section(text: Column, most: int = 4000, skip: int = 400) -> Column:
+    """What a text tells between the headings of facts and reasons; without the second the `most` characters after the first,
+    without both those from `skip` up to `most`; blanks, colons and line ends at its ends go."""
+    a, head = F.regexp_instr(text, F.lit(f"(?iu){FACTS}")), F.length(F.regexp_extract(text, f"(?iu){FACTS}", 0))
+    b = F.regexp_instr(text, F.lit(f"(?iu){REASON}"))
+    after = a + head
+    seg = F.when((a > 0) & (b > after), F.substring(text, after, b - after)).when(a > 0, F.substring(text, after, F.lit(most))).otherwise(F.substring(text, F.lit(skip + 1), F.lit(most - skip)))
+    return F.substring(F.regexp_replace(seg, r"^[ :\n\t]+|[ :\n\t]+$", ""), 1, most)
+
+
+def metadata_record(number: Column, title: Column, text: Column) -> Column:
+    """A precedent's record out of its number and title, richer where its text is there: the title leads the facts."""
+    own = F.coalesce(F.nullif(text, F.lit("")), title)
+    facts = F.when(F.coalesce(text, F.lit("")) != "", T.between(text, FACTS, REASON, 1200, 300)).otherwise("")
+    joined = F.regexp_replace(F.concat_ws(". ", F.nullif(title, F.lit("")), F.nullif(facts, F.lit(""))), r"^[. ]+|[. ]+$", "")
+    return F.struct(number.alias("case_number"), kind_of(own).alias("case_type"), main_articles(F.coalesce(text, F.lit("")), title).alias("articles"), F.coalesce(F.nullif(joined, F.lit("")), title).alias("facts_summary"), own.alias("full_text"))
+
+
+def case_record(docs: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
+    """A case's record out of its spans (key, label, start, text) and its text: court, crimes, articles, penalties, facts."""
+    none = F.array().cast("array<string>")
+    labels = ["COURT", "CRIME", "ARTICLE", "LEGAL_BASIS", "PENALTY"]
+    by = first_texts(spans.where(F.col("label").isin(*labels)), key, 20).groupBy(key).pivot("label", labels).agg(F.first("texts"))
+    x = docs.select(key, F.col(text).alias("text_")).join(by, key, "left").na.fill({})
+    first = lambda c, n: F.slice(F.coalesce(c, none), 1, n)
+    cited = F.concat_ws(" ", F.array_join(first("ARTICLE", 20), " "), F.array_join(first("LEGAL_BASIS", 8), " "))
+    return x.select(
+        key, F.coalesce(F.try_element_at(F.coalesce("COURT", none), F.lit(1)), F.lit("")).alias("court"), first("CRIME", 8).alias("crimes"), T.article_refs(cited).alias("articles"), first("PENALTY", 6).alias("penalties"),
+        F.coalesce(T.between(F.col("text_"), FACTS, REASON, 1200, 300), F.lit("")).alias("facts_summary"), F.coalesce("text_", F.lit("")).alias("full_text"),
+    )
+
+
+def fact_lines(spans: DataFrame, key: str, labels: list[tuple[str, str]], most: int = 8) -> DataFrame:
+    """key, facts: a line per label with its first different texts, labels in the order given (label, shown name), others after
+    them by name."""
+    names = F.create_map(*[F.lit(x) for kv in labels for x in kv])
+    rank = F.create_map(*[F.lit(x) for i, (label, _) in enumerate(labels) for x in (label, i)])
+    own = first_texts(spans, key, most)
+    line = F.concat(F.lit("- "), F.coalesce(names[F.col("label")], F.col("label")), F.lit(": "), F.array_join("texts", "; "))
+    rows = own.select(key, F.struct(F.coalesce(rank[F.col("label")], F.lit(len(labels))).alias("r"), "label", line.alias("line")).alias("x"))
+    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("facts"))
+
+
+def request_body(content: Column, model: str, search: Column, other_model: Column) -> Column:
+    """The body of a request for an answer as JSON; what isn't given is left out."""
+    message = F.array(F.struct(F.lit("user").alias("role"), content.alias("content")))
+    blank = lambda c: F.nullif(c, F.lit(""))
+    return F.to_json(F.struct(F.lit(model).alias("model"), message.alias("messages"), F.lit(False).alias("stream"), F.lit(0.2).alias("temperature"), F.lit(True).alias("skip_router"), blank(search).alias("search_query"), blank(other_model).alias("llm_model")))
+
+
+def corpus_counts(checked: DataFrame, key: str) -> DataFrame:
+    """key, status, checked, found, not_found of checked pairs (status found, not_found or error): skipped if all are errors."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    g = checked.groupBy(key).agg(F.count("*").alias("n"), n("error").alias("e"), n("found").alias("f"), n("not_found").alias("m"))
+    bad = F.col("n") == F.col("e")
+    zero = lambda c: F.when(bad, 0).otherwise(c).cast("bigint")
+    return g.select(key, F.when(bad, "skipped").otherwise("ok").alias("status"), zero(F.col("n") - F.col("e")).alias("checked"), zero(F.col("f")).alias("found"), zero(F.col("m")).alias("not_found"))

@@ -99,6 +99,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def occurrence(text: Column, part: Column, nth: int = 1) -> Column:
+    """Place (from 0) of the nth occurrence of a part in a text, overlapping ones counted; null where there are fewer."""
+    at = F.lit(0)
+    for _ in range(nth):
+        at = F.nullif(F.call_function("locate", part, text, at + 1), F.lit(0))
+    return at - 1
+
+
 def window_before(text: Column, start: Column, n: int) -> Column:
     return F.substring(text, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n)))
 

@@ -33,8 +33,8 @@ def _composed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode composition; only texts with combining marks leave the JVM's own path unchanged otherwise."""
-    return F.when(c.rlike(r"\p{M}"), _composed(c)).otherwise(c)
+    """Unicode composition; only texts with combining marks are sent to Python, of the others a null."""
+    return F.coalesce(_composed(F.when(c.rlike(r"\p{M}"), c)), c)
 
 
 def legacy_fixed(c: Column) -> Column:

@@ -101,3 +101,28 @@ def reattached(missing: DataFrame, cits: DataFrame, law: DataFrame, key: str) ->
     every = one.unionByName(any_clause).unionByName(three).unionByName(four)
     best = every.groupBy("mid_").agg(F.min(F.struct("way", "d2", "k2")).alias("b"))
     return m.join(best, "mid_").select(*missing.columns, F.col("b.way").alias("way"), F.col("b.d2").alias("to_dieu"), F.col("b.k2").alias("to_khoan"))
+
+
+def collected(spans: DataFrame, key: str) -> DataFrame:
+    """All citations of a document's spans (key, label, start, text): those of its LEGAL_BASIS spans, a chain each, and those put
+    together from separate spans, whose chains go on from there; each article, clause, point and law once, the first."""
+    base = spans.where("label = 'LEGAL_BASIS'").withColumn("chain", F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1)
+    own = citations(base.select(key, "chain", "start", "text"), "text").select(key, "start", "chain", "so_dieu", "so_khoan", "diem", "law", "law_text", "ord")
+    many = base.groupBy(key).agg(F.count("*").alias("n_"))
+    rest = reconstructed(spans, key).join(many, key, "left").withColumn("chain", F.col("chain") + F.coalesce("n_", F.lit(0)) - 1)
+    every = own.unionByName(rest.select(key, "start", "chain", "so_dieu", "so_khoan", "diem", "law", "law_text", F.lit(0).alias("ord")))
+    return first_of_each(every, key, ["chain", "start", "ord"])
+
+
+def summary(verified: DataFrame, key: str) -> DataFrame:
+    """Counters of a document's citations (so_dieu, law_key, level, in_force, penalty, charge, whichever are known): how many,
+    held by the statutes, missing by level, out of scope, not yet or no longer in force, outside their frame, off their charge."""
+    has = verified.columns
+    own = F.col("law_key").isNotNull()
+    one = lambda name, cond: F.count_if(F.coalesce(cond, F.lit(False))).alias(name)
+    return verified.groupBy(key).agg(
+        F.count("*").alias("total"), one("valid", own & (F.col("level") == "found")), one("not_found", own & (F.col("level") != "found")), one("out_of_scope", ~own),
+        *(one(x, own & (F.col("level") == x)) for x in ("no_dieu", "no_khoan", "no_diem")),
+        one("not_in_force", ~F.col("in_force") if "in_force" in has else F.lit(False)), one("out_of_frame", F.col("penalty") == "out_of_frame" if "penalty" in has else F.lit(False)),
+        one("charge_matched", F.col("charge") == "true" if "charge" in has else F.lit(False)),
+    )

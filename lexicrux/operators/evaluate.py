@@ -45,3 +45,15 @@ def split(rows: DataFrame, key: str, dev_share: float = 0.1) -> DataFrame:
     if rows.limit(10).count() < 10:
         return rows.withColumn("part", F.lit("train")).unionByName(rows.withColumn("part", F.lit("dev")))
     return rows.withColumn("part", F.when(bucket < int(dev_share * 10_000), "dev").otherwise("train"))
+
+
+def in_gold(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Predicted spans of the labels that were annotated at all."""
+    return pred.join(gold.select("label").distinct(), "label", "left_semi")
+
+
+def with_macro(report: DataFrame) -> DataFrame:
+    """prf() with a row macro: the means over the labels, and the sums of their counts."""
+    own = report.where("label <> 'micro'")
+    mean = own.agg(*(F.sum(c).alias(c) for c in ("tp", "gold", "pred")), *(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1")))
+    return report.unionByName(mean.withColumn("label", F.lit("macro")))

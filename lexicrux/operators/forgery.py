@@ -85,3 +85,18 @@ def byte_counts(content: Column) -> Column:
 
 def _finding(signal: str, severity: Column) -> Column:
     return F.struct(F.lit(signal).alias("signal"), severity.alias("severity"))
+
+
+def seal_findings(docs: DataFrame, key: str) -> DataFrame:
+    """A light sign where pages carry images (column images, their number) but none a red region (seal_pages, their numbers)."""
+    missing = (F.col("images") > 0) & (F.coalesce(F.size("seal_pages"), F.lit(0)) <= 0)
+    return docs.where(missing).select(key, F.lit("seal.absent_low_confidence").alias("signal"), F.lit("low").alias("severity"))
+
+
+def summarised(findings: DataFrame, key: str) -> DataFrame:
+    """risk() of findings (key, signal, severity) with the three most severe signals, of equals by name."""
+    weight = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
+    own = findings.withColumn("w_", -weight)
+    # a document has few findings; of each only the signal's name is kept
+    top = own.groupBy(key).agg(F.slice(F.transform(F.array_sort(F.collect_set(F.struct("w_", "signal"))), lambda x: x["signal"]), 1, 3).alias("top"))
+    return risk(findings, key).join(top, key)

@@ -31,3 +31,8 @@ def coverage(have: DataFrame, expected: DataFrame, key: str, item: str, total: s
     x = every.join(own.withColumn("here_", F.lit(1)), [key, item], "left")
     g = x.groupBy(key).agg(F.count("here_").alias("have"), F.first(total).cast("bigint").alias("expected"), F.array_sort(F.collect_list(F.when(F.col("here_").isNull(), F.col(item)))).alias("missing"))
     return g.withColumn("percent", F.round(100.0 * F.col("have") / F.col("expected"), 1))
+
+
+def recent(jobs: DataFrame, at: str, key: str, most: int = 50) -> DataFrame:
+    """The most recent jobs, latest first, ties by key."""
+    return jobs.orderBy(F.desc(at), key).limit(most)

@@ -23,6 +23,32 @@ def registry(spark: SparkSession) -> DataFrame:
     return rows.withColumns({c: F.to_date(c) for c in ("effective_from", "effective_to")})
 
 
+# fixed values: other spellings of a law's key, once blanks are gone, hyphens are underscores and letters capitals
+ALIASES = TAG_TO_KEY | {"NQ326": "NQ326_2016", "NQ326_2016_UBTVQH14": "NQ326_2016"}
+DEFAULT_LAW = "BLHS2015"
+#: Articles of the penal code that define offences, where no part is named.
+OFFENCES, OFFENCE_PART = (108, 425), "CÁC TỘI PHẠM"
+
+
+def canonical_law(c: Column) -> Column:
+    """The registry's key for any spelling of it; unknown, blank and null ones are the default law."""
+    known = {k: k for k, *_ in REGISTRY} | ALIASES
+    key = F.replace(F.replace(F.upper(F.trim(c)), F.lit(" "), F.lit("")), F.lit("-"), F.lit("_"))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])[key], F.lit(DEFAULT_LAW))
+
+
+def law_label(key: Column) -> Column:
+    """Name, year and number of a law; a key that isn't registered stands for itself."""
+    names = {k: f"{name} {number.split('/')[1]} ({number})" for k, name, number, *_ in REGISTRY}
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[key], key)
+
+
+def is_offence(law_key: Column, article: Column, part: Column) -> Column:
+    """Whether an article defines an offence: of the penal code only, by its part's name, else by its number."""
+    named = F.coalesce(F.contains(F.upper(part), F.lit(OFFENCE_PART)), F.lit(False))
+    return F.coalesce((law_key == DEFAULT_LAW) & (named | article.between(*OFFENCES)), F.lit(False))
+
+
 def law_tag(c: Column) -> Column:
     """BLHS, BLTTHS, BLDS, OTHER or UNKNOWN; a code with a first year other than 2015 is OTHER."""
     year = F.regexp_extract(c, r"(?iu)năm\s*((?:19|20)\d{2})", 1)
@@ -151,6 +177,36 @@ def _rank(kind: Column) -> Column:
     return out
 
 
+def severest(penalties: Column) -> Column:
+    """Of pronounced penalties (texts) the most severe: kind and years, by kind, then by length; the first of equals."""
+    own = F.filter(F.transform(penalties, lambda p, i: F.struct(pronounced(p).alias("p"), i.alias("i"))), lambda x: x["p"]["kind"].isNotNull())
+    row = lambda x: F.struct(_rank(x["p"]["kind"]).alias("rank"), F.coalesce(x["p"]["years"], F.lit(0.0)).alias("y"), (-x["i"]).alias("i"), x["p"].alias("p"))
+    return F.array_max(F.transform(own, row))["p"]
+
+
+def statute_store(texts: DataFrame) -> dict[str, DataFrame]:
+    """Tables of a statute store out of article texts (law_key, so_dieu, text, and phan, chuong, muc where known): articles,
+    clauses, points and penalty_frames, under natural keys in place of running numbers."""
+    where = [c if c in texts.columns else F.lit(None).cast("string").alias(c) for c in ("phan", "chuong", "muc")]
+    title = F.nullif(F.trim(F.regexp_extract("text", r"^\s*Điều\s+\d+\.[^\S\n]*([^\n]*)", 1)), F.lit(""))
+    articles = texts.select("law_key", "so_dieu", title.alias("tieu_de"), *where, F.col("text").alias("noi_dung"))
+    articles = articles.withColumn("is_offense", is_offence(F.col("law_key"), F.col("so_dieu"), F.col("phan")))
+    own = clauses(texts)
+    points = own.select("law_key", "so_dieu", "so_khoan", F.explode("points").alias("p")).select("law_key", "so_dieu", "so_khoan", "p.ky_hieu", "p.noi_dung")
+    frames = own.select("law_key", "so_dieu", "so_khoan", F.posexplode(penalty_frames(F.col("noi_dung"))).alias("ord", "f"))
+    return {"articles": articles, "clauses": own.drop("points"), "points": points, "penalty_frames": frames.select("law_key", "so_dieu", "so_khoan", "ord", "f.*")}
+
+
+def write_store(store: dict[str, DataFrame], path: str) -> None:
+    """The store as parquet, a folder a table, clustered by law; what was there is replaced."""
+    for name, table in store.items():
+        table.write.mode("overwrite").partitionBy("law_key").parquet(f"{path}/{name}")
+
+
+def read_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("articles", "clauses", "points", "penalty_frames")}
+
+
 def in_force(on: Column, start: Column, end: Column) -> Column:
     """True, False, or null where a needed date is missing."""
     return F.when(on.isNull() | start.isNull(), None).otherwise((on >= start) & (end.isNull() | (on <= end)))

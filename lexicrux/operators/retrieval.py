@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from lexicrux.functions import text as T
 from lexicrux.functions.spans import let
+from lexicrux.staging import bounded, stage
 
 K1, B = 1.5, 0.75
 RRF = 60
-BLOCK = 4096
+#: Queries compared with all rows in one scan.
+BLOCK = 16_384
 
 
 def _tail(cur: Column, overlap: int) -> Column:
@@ -56,7 +58,8 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     count = lambda ws: F.struct(F.size(ws).alias("len"), F.array(*(F.size(F.array_remove(ws, x)) for x in terms)).alias("rest"))
     # a generator keeps the counts in one place: a plain projection would be computed anew for every term that names it
     one = docs.select(key, F.explode(F.array(let(T.words(F.coalesce(text, F.lit(""))), count))).alias("c"))
-    tf = one.select(key, F.col("c.len").alias("len"), *((F.col("c.len") - F.col("c.rest")[i]).alias(f"tf{i}") for i in range(len(terms))))
+    # texts are tokenised once; statistics and scores are both taken from the counts
+    tf = stage(one.select(key, F.col("c.len").alias("len"), *((F.col("c.len") - F.col("c.rest")[i]).alias(f"tf{i}") for i in range(len(terms)))))
     s = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -72,14 +75,15 @@ def dot(a: Column, b: Column) -> Column:
 def cosine_topk(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """q, key, sim: the k rows of base most similar to each query (key, vector), in exact blocks of queries against all rows.
 
+    Queries are spread over blocks by hash, so that the driver holds one block at a time and base is scanned once a block.
     Rows of another length, or without length, have no similarity; ties go to the lesser key; a row isn't its own result."""
     spark = base.sparkSession
-    ids = queries.select(F.col(key).alias("q")).orderBy("q").toArrow().column("q").to_numpy()
+    asks = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("q"), F.col(vector).alias("v"))
+    blocks = -(-asks.count() // BLOCK)
     out = None
-    for lo in range(0, len(ids), BLOCK):
-        block = queries.where(F.col(key).between(int(ids[lo]), int(ids[min(lo + BLOCK, len(ids)) - 1]))).select(F.col(key).alias("q"), F.col(vector).alias("v")).collect()
+    for no in range(blocks):
         by: dict[int, list] = {}
-        for r in block:
+        for r in bounded(asks.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == no), 4 * BLOCK, "a block of queries"):
             by.setdefault(len(r.v), []).append((r.q, r.v))
         sent = spark.sparkContext.broadcast({n: (np.array([q for q, _ in rows]), np.array([v for _, v in rows], np.float64)) for n, rows in by.items()})
 
@@ -93,12 +97,14 @@ def cosine_topk(base: DataFrame, queries: DataFrame, key: str, vector: str, k: i
                     names, m = sent.value[n]
                     keys, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
                     unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-                    sims = unit(m) @ unit(x).T
-                    sims[names[:, None] == keys[None, :]] = -np.inf
-                    kk = min(k, sims.shape[1])
-                    kth = np.partition(sims, sims.shape[1] - kk, 1)[:, -kk]
-                    i, j = np.nonzero((sims >= kth[:, None]) & np.isfinite(sims))
-                    yield pa.RecordBatch.from_arrays([pa.array(names[i], pa.int64()), pa.array(keys[j], pa.int64()), pa.array(sims[i, j])], ["q", "k", "sim"])
+                    own_units = unit(x).T
+                    for lo in range(0, len(names), 1024):
+                        sims = unit(m[lo : lo + 1024]) @ own_units
+                        sims[names[lo : lo + 1024, None] == keys[None, :]] = -np.inf
+                        kk = min(k, sims.shape[1])
+                        kth = np.partition(sims, sims.shape[1] - kk, 1)[:, -kk]
+                        i, j = np.nonzero((sims >= kth[:, None]) & np.isfinite(sims))
+                        yield pa.RecordBatch.from_arrays([pa.array(names[lo + i], pa.int64()), pa.array(keys[j], pa.int64()), pa.array(sims[i, j])], ["q", "k", "sim"])
 
         part = base.select(F.col(key).cast("bigint"), vector).mapInArrow(run, "q BIGINT, k BIGINT, sim DOUBLE")
         out = part if out is None else out.unionByName(part)
@@ -111,10 +117,11 @@ def cosine_topk(base: DataFrame, queries: DataFrame, key: str, vector: str, k: i
 def fused(legs: list[DataFrame], key: str, k: int, score: str = "score") -> DataFrame:
     """The k best of scored lists by reciprocal rank fusion, ties by key: key, rrf.
 
-    Who is beyond place m = 60 + 2 k of every list scores less than the k-th of any one list, so at most m rows a list can
-    win. Their exact ranks are counted over all rows, by how many candidates are better than each row; no list is ever
-    sorted in one task."""
-    spark, m = legs[0].sparkSession, RRF + 2 * k
+    The k-th of any one list scores 1 / (RRF + k) at least. Who is beyond place m = n (RRF + k) - RRF of all n lists scores
+    less, so at most m rows a list can win. Their exact ranks are counted over all rows, by how many candidates are better
+    than each row; no list is ever sorted in one task. Each list is staged once."""
+    spark, m = legs[0].sparkSession, len(legs) * (RRF + k) - RRF
+    legs = [stage(leg.select(key, score)) for leg in legs]
     order = [F.desc(score), F.col(key)]
     wanted = sorted({r[0] for leg in legs for r in leg.select(key, score).orderBy(*order).limit(m).collect()})
     total: dict = dict.fromkeys(wanted, 0.0)
@@ -159,6 +166,9 @@ def match(cases: DataFrame, query: dict, k: int = 5, least: float = 0.0) -> Data
     """The k cases most like a query {vector, articles, crime_words}; only related ones, unless they are fewer than k."""
     q = F.array(*map(F.lit, query["vector"]))
     scored = cases.where(F.size("vector") == len(query["vector"])).withColumn("sim", dot(F.col("vector"), q)).withColumn("related", related(F.col("articles"), F.col("crimes"), query["articles"], query["crime_words"]))
-    enough = scored.where("related").limit(k).count() >= k
-    pool = scored.where("related") if enough else scored
-    return pool.orderBy(F.desc("sim"), "rec_no").limit(k).where(F.col("sim") >= least)
+    order = [F.desc("sim"), F.col("rec_no")]
+    near = scored.where("related").orderBy(*order).limit(k).withColumn("pool", F.lit(1))
+    both = near.unionByName(scored.orderBy(*order).limit(k).withColumn("pool", F.lit(2)))
+    # at most 2 k rows
+    chosen = both.withColumn("n_", F.count_if(F.col("pool") == 1).over(Window.partitionBy(F.lit(0)))).where((F.col("pool") == 1) == (F.col("n_") >= k))
+    return chosen.drop("pool", "n_").orderBy(*order).limit(k).where(F.col("sim") >= least)

@@ -99,3 +99,24 @@ def first_decided(windows: DataFrame, key: str) -> DataFrame:
     """Of windows (key, lo, hi) the one that decides each token: the first that covers it."""
     t = windows.select(key, "lo", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("tok"))
     return t.groupBy(key, "tok").agg(F.min("lo").alias("decided_by"))
+
+
+def section_ranges(tokens: DataFrame, sections: DataFrame, key: str) -> DataFrame:
+    """key, name, lo, hi: tokens (key, tok, start) of each section (key, ord, name, start, end), a token belonging to the section
+    its start lies in; sections without tokens have no row, tokens behind the last section belong to the last."""
+    s = sections.select(key, "ord", "name", F.col("start").alias("a_"), F.coalesce(F.lead("start").over(Window.partitionBy(key).orderBy("ord")), F.lit(2**31 - 1)).alias("b_"))
+    hit = tokens.select(key, "tok", "start").join(s, key).where((F.col("start") >= F.col("a_")) & (F.col("start") < F.col("b_")))
+    return hit.groupBy(key, "ord", "name").agg(F.min("tok").alias("lo"), (F.max("tok") + 1).alias("hi"))
+
+
+def truncated_at(pieces: Column, budget: int) -> Column:
+    """The first token that a window of so many sub-words has no room for (pieces: sub-words of each token), null if all fit."""
+    step = lambda acc, n: F.struct((acc["used"] + n).cast("bigint").alias("used"), F.when(acc["used"] + n <= budget, acc["fits"] + 1).otherwise(acc["fits"]).cast("int").alias("fits"))
+    fits = F.aggregate(pieces, F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("fits")), step, lambda acc: acc["fits"])
+    return F.when(fits < F.size(pieces), fits)
+
+
+def subword_labels(tags: Column, pieces: Column, ignored: str = "-100") -> Column:
+    """Labels of sub-words: the first of each token has its tag, the others are ignored."""
+    rest = lambda n: F.array_repeat(F.lit(ignored), F.greatest(n - 1, F.lit(0)).cast("int"))
+    return F.flatten(F.transform(F.arrays_zip(tags.alias("t"), pieces.alias("n")), lambda x: F.when(x["n"] > 0, F.concat(F.array(x["t"]), rest(x["n"]))).otherwise(F.array().cast("array<string>"))))

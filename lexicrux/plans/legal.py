@@ -139,29 +139,18 @@ def charge_match(spark, d):
     return p.select("rec_no", "ord", L.charge_match(F.col("crime"), F.col("name")).alias("match"))
 
 
-def existence_score(spark, d):
-    p = _t(spark, d, "precedents").select("rec_no", "case_number", "court", F.regexp_extract("full_text", r"(\d{1,2}/\d{1,2}/\d{4})", 1).alias("date"))
-    q = p.where("rec_no % 10 = 0").withColumnRenamed("rec_no", "q")
-    return X.scored(q, p.withColumnRenamed("rec_no", "c")).where("score >= 0.6")
-
-
-def existence_report(spark, d):
-    p = _t(spark, d, "precedents").select("rec_no", "case_number", "court", F.regexp_extract("full_text", r"(\d{1,2}/\d{1,2}/\d{4})", 1).alias("date"))
-    return X.reports(p.where("rec_no % 10 = 0").withColumnRenamed("rec_no", "q"), p.withColumnRenamed("rec_no", "c"))
-
-
 def _numbered(spark, d):
     return _t(spark, d, "precedents").select("rec_no", "case_number", "court", F.regexp_extract("full_text", r"(\d{1,2}/\d{1,2}/\d{4})", 1).alias("date"))
 
 
-def existence_score_all(spark, d):
-    """existence_score with every precedent as a query."""
+def existence_score(spark, d):
+    """Every precedent as a query against all precedents."""
     p = _numbered(spark, d)
     return X.scored(p.withColumnRenamed("rec_no", "q"), p.withColumnRenamed("rec_no", "c")).where("score >= 0.6")
 
 
-def existence_report_all(spark, d):
-    """existence_report with every precedent as a query."""
+def existence_report(spark, d):
+    """What became of every precedent as a query; dates, numbers and courts are joined in place of pairs of records."""
     p = _numbered(spark, d)
     return X.best_reports(p.withColumnRenamed("rec_no", "q"), p.withColumnRenamed("rec_no", "c"))
 
@@ -219,8 +208,9 @@ def job_state_latest(spark, d):
 
 
 def resume_anti_join(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id")
-    return J.to_do(docs, docs.where("doc_id % 3 = 0"), "doc_id")
+    """Precedents that no recogniser has delivered yet."""
+    done = _t(spark, d, "ocr_results").where("precedent_id IS NOT NULL").select(F.col("precedent_id").alias("id"))
+    return J.to_do(_t(spark, d, "precedents").select("id", "rec_no"), done, "id").select("rec_no")
 
 
 def coverage_report(spark, d):
@@ -231,7 +221,7 @@ def coverage_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (law_classify, citation_parse, citation_first, citation_verify, citation_report, citation_reattach, citation_spans, law_article_lookup, validity_at_date, penalty_parse, statute_clauses, penalty_frame_parse, sentencing_frame_check, charge_match, existence_score, existence_report, existence_score_all, existence_report_all, forgery_risk_score, font_outlier, dimension_outlier, ocr_statistics, span_prf, span_prf_overlap, train_dev_split, job_state_latest, resume_anti_join, coverage_report)
+    for f in (law_classify, citation_parse, citation_first, citation_verify, citation_report, citation_reattach, citation_spans, law_article_lookup, validity_at_date, penalty_parse, statute_clauses, penalty_frame_parse, sentencing_frame_check, charge_match, existence_score, existence_report, forgery_risk_score, font_outlier, dimension_outlier, ocr_statistics, span_prf, span_prf_overlap, train_dev_split, job_state_latest, resume_anti_join, coverage_report)
 }
 _KEY = "CASE law WHEN 'BLHS' THEN 'BLHS2015' WHEN 'BLTTHS' THEN 'BLTTHS2015' WHEN 'BLDS' THEN 'BLDS2015' END"
 _VERIFY = f"""
@@ -248,7 +238,7 @@ _EXIST = rf"""
 a AS (SELECT rec_no, regexp_replace(upper({_F('case_number')}), '[^A-Z0-9]', '', 'g') AS k, court, trim(regexp_replace(upper({_F('court')}), '[^A-Z0-9]+', ' ', 'g')) AS ck, coalesce(regexp_extract(full_text, '(\d{{1,2}}/\d{{1,2}}/\d{{4}})', 1), '') AS dt FROM precedents WHERE case_number IS NOT NULL),
 b AS (SELECT *, CASE WHEN regexp_extract(k, '^(\d+)', 1) = '' THEN k ELSE regexp_extract(k, '^(\d+)', 1) END AS core, list_distinct(list_filter(string_split(ck, ' '), lambda w: w <> '')) AS ws FROM a WHERE k <> ''),
 s AS (SELECT q.rec_no AS q, c.rec_no AS c, q.k = c.k AS case_match, round(least((CASE WHEN q.k = c.k THEN 0.6 ELSE 0.36 END) + 0.25 * (CASE WHEN coalesce(q.court, '') = '' THEN 0.5 WHEN len(q.ws) = 0 OR c.ws IS NULL OR len(c.ws) = 0 THEN 0 ELSE len(list_intersect(q.ws, c.ws)) / len(list_distinct(list_concat(q.ws, c.ws))) END) + 0.15 * (CASE WHEN q.dt = '' THEN 0.5 WHEN q.dt = c.dt THEN 1 ELSE 0 END), 1.0), 3) AS score
- FROM b q JOIN b c ON q.core = c.core WHERE q.rec_no % 10 = 0)"""
+ FROM b q JOIN b c ON q.core = c.core WHERE true)"""
 SQL = {
     "citation_first": r"""
 WITH a AS (SELECT cit_id, raw, regexp_extract(raw, '(?is)^.*?đi[eề]u\s*0*\d{1,3}', 0) AS h FROM parsed_citations WHERE regexp_matches(raw, '(?i)đi[eề]u\s*0*\d'))
@@ -276,7 +266,7 @@ w AS (SELECT *, list_distinct(string_split_regex(cf, '\s+')) AS cw, list_distinc
 SELECT rec_no, ord, CASE WHEN c = '' OR t = '' OR length(cf) < 4 THEN 'uncertain' WHEN contains(tf, cf) OR contains(cf, tf) OR len(list_intersect(cw, tw)) / len(cw) >= 0.7 THEN 'true' ELSE 'uncertain' END AS match FROM w""",
     "existence_score": f"WITH {_EXIST} SELECT q, c, score, case_match FROM s WHERE score >= 0.6",
     "existence_report": f"WITH {_EXIST}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS r FROM s), t AS (SELECT q, min_by(score, r) AS score, min_by(case_match, r) AS cm, least(count(*), 10) AS n FROM r GROUP BY q) "
-    "SELECT p.rec_no AS q, CASE WHEN score IS NULL THEN 'not_found' WHEN cm AND score >= 0.85 THEN 'found' ELSE 'found_partial' END AS status, score, coalesce(n, 0) AS candidates FROM precedents p LEFT JOIN t ON p.rec_no = t.q WHERE p.rec_no % 10 = 0",
+    "SELECT p.rec_no AS q, CASE WHEN score IS NULL THEN 'not_found' WHEN cm AND score >= 0.85 THEN 'found' ELSE 'found_partial' END AS status, score, coalesce(n, 0) AS candidates FROM precedents p LEFT JOIN t ON p.rec_no = t.q",
     "forgery_risk_score": """
 WITH f AS (SELECT user_id || '-' || event_id % 97 AS key, CASE WHEN event_type = 'error' THEN 'high' WHEN event_type IN ('purchase', 'signup') THEN 'medium' ELSE 'low' END AS s FROM events WHERE user_id IS NOT NULL),
 g AS (SELECT key, CAST(least(100, sum(CASE s WHEN 'high' THEN 40 WHEN 'medium' THEN 20 ELSE 5 END)) AS INTEGER) AS score, bool_or(s = 'high') AS h, count(*) FILTER (s = 'medium') AS m, count(*) AS findings FROM f GROUP BY key)
@@ -292,6 +282,6 @@ SELECT p.l_orderkey, page FROM p JOIN u ON p.l_orderkey = u.l_orderkey AND r = 1
     "ocr_statistics": "SELECT engine, count(*) AS n, round(avg(mean_confidence), 6) AS confidence, CAST(sum(skipped_pages) AS BIGINT) AS skipped, CAST(sum(coalesce(len(list_filter(per_page, lambda x: x.mean_confidence < 0.6)), 0)) AS BIGINT) AS low_pages, CAST(sum(quality_warnings) AS BIGINT) AS warnings FROM ocr_results GROUP BY engine",
     "train_dev_split": "SELECT doc_id, CASE WHEN CAST('0x' || sha1(CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) % 10000 < 1000 THEN 'dev' ELSE 'train' END AS part FROM documents",
     "job_state_latest": "SELECT user_id, max_by(event_type, event_id) AS status, count(*) AS events, min(event_id) AS first_seq, max(event_id) AS last_seq FROM events GROUP BY user_id",
-    "resume_anti_join": "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0",
+    "resume_anti_join": "SELECT rec_no FROM precedents p WHERE NOT EXISTS (SELECT 1 FROM ocr_results o WHERE o.precedent_id = p.id)",
     "coverage_report": f"WITH r AS (SELECT * FROM (VALUES ('BLHS2015', 426), ('BLTTHS2015', 510), ('BLDS2015', 689), ('NQ326_2016', 48)) t(law_key, n)), h AS (SELECT {_KEY} AS law_key, so_dieu FROM parsed_citations WHERE so_dieu IS NOT NULL GROUP BY 1, 2) SELECT r.law_key, count(h.so_dieu) AS have, CAST(any_value(n) AS BIGINT) AS expected, round(100.0 * count(h.so_dieu) / any_value(n), 1) AS percent, CAST(any_value(n) - count(h.so_dieu) AS INTEGER) AS missing FROM r LEFT JOIN h ON r.law_key = h.law_key AND h.so_dieu BETWEEN 1 AND n GROUP BY r.law_key",
 }

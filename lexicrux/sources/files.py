@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from lexicrux.functions.text import iso_date
+from lexicrux.functions.text import iso_date, nfc
 
 LEAST_PDF_TEXT, LEAST_FILE_TEXT, MOST_TEXT = 200, 400, 20_000
 OCR_SCHEMA = "struct<pages:array<struct<page_index:int,source_type:string,engine:string,skipped:boolean,blocks:array<struct<`order`:int,text:string,table_html:string,embedded_text:string,confidence:double>>>>>"
@@ -134,12 +134,17 @@ def structured_blocks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one)
 
 
+def statute_clean(c: Column) -> Column:
+    """Composed, hard blanks as blanks, blanks of no width gone."""
+    return nfc(F.translate(c, "\u00a0\u200b", " "))
+
+
 def statute_articles(pages: DataFrame, key: str, text: str) -> DataFrame:
     """key, so_dieu, phan, chuong, muc, text: the articles of statute texts with the part, chapter and section they stand in.
 
     A part or chapter counts where the next line is a title in capitals; a new part ends chapter and section, a new chapter
     the section; of an article given twice the first."""
-    lines = pages.select(key, F.posexplode(F.filter(F.transform(F.split(F.translate(text, " ​", " "), "\n"), F.trim), lambda x: (x != "") & (x != "Đang theo dõi"))).alias("pos", "line"))
+    lines = pages.select(key, F.posexplode(F.filter(F.transform(F.split(statute_clean(F.col(text)), "\n"), F.trim), lambda x: (x != "") & (x != "Đang theo dõi"))).alias("pos", "line"))
     w = Window.partitionBy(key).orderBy("pos")
     after = F.lead("line").over(w)
     titled = (F.upper(after) == after) & after.rlike(r"\p{L}") & (F.length(after) > 4)

@@ -303,10 +303,10 @@ def test_existence_of_every_precedent(spark):
     p = _numbered(spark, d)
     q, c = p.withColumnRenamed("rec_no", "q"), p.withColumnRenamed("rec_no", "c")
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
-    got, want = rows(entry.queries()["existence_report_all"](spark, d)), rows(X.reports(q, c))
+    got, want = rows(entry.queries()["existence_report"](spark, d)), rows(X.reports(q, c))
     assert got == want and len(got) == p.count()
-    scores, tenth = ({tuple(r) for r in entry.queries()[n](spark, d).collect()} for n in ("existence_score_all", "existence_score"))
-    assert {r for r in scores if r[0] % 10 == 0} == tenth and any(r[0] % 10 for r in scores)
+    scores = {tuple(r) for r in entry.queries()["existence_score"](spark, d).collect()}
+    assert scores == {tuple(r) for r in X.scored(q, c).where("score >= 0.6").collect()}
 
 
 @pytest.mark.parametrize("name", ["span_prf", "span_prf_overlap"])
