@@ -23,7 +23,7 @@ def kind_of(text: Column) -> Column:
 def keywords(text: Column) -> Column:
     """Crimes named in a precedent's line of keywords: the quoted ones, else up to six parts between semicolons."""
     line = F.split(F.regexp_extract(text, r"(?iu)T[ừu]\s*kh[óo]a\s*c[ủu]a\s*[áa]n\s*l[ệe]\s*:?(.+)", 1), "\n")[0]
-    quoted = F.transform(F.regexp_extract_all(line, F.lit("[\"“”']([^\"“”']{2,80})[\"“”']"), F.lit(1)), F.trim)
+    quoted = F.transform(F.regexp_extract_all(line, F.lit("[\"“”']([^\"“”']{2,80})[\"“”']"), F.lit(1)), lambda x: F.trim(x))
     parts = F.filter(F.transform(F.split(line, ";"), lambda p: F.btrim(p, F.lit(" .\t"))), lambda p: (F.length(p) > 2) & (F.length(p) < 80))
     return F.when(F.size(quoted) > 0, quoted).otherwise(F.slice(parts, 1, 6))
 

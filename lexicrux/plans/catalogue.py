@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexicrux.operators import segment
-from lexicrux.plans import legal, records, search, sources, spans, texts
+from lexicrux.plans import legal, proofs, records, search, sources, spans, texts
 
 QUERIES: dict = {**texts.QUERIES, **spans.QUERIES, **search.QUERIES, **legal.QUERIES, **sources.QUERIES, **records.QUERIES, **segment.QUERIES}
-SQL: dict[str, str] = {**texts.SQL, **spans.SQL, **search.SQL, **legal.SQL, **sources.SQL, **records.SQL}
+SQL: dict[str, str] = {**texts.SQL, **spans.SQL, **search.SQL, **legal.SQL, **sources.SQL, **records.SQL, **proofs.SQL}

@@ -26,6 +26,35 @@ def span_article_clause(spark, d):
     return _judgments(spark, d).select("rec_no", F.explode(every).alias("s")).groupBy("rec_no", "s.label", "s.text").agg(F.count("*").alias("n"), F.min("s.start").alias("first_at"))
 
 
+#: Patterns without look-around, which other engines read alike.
+PLAIN = [p for p in S.PATTERNS if not any(x in p[1] for x in ("(?!", "(?=", "(?<")) and p[0] not in ("ARTICLE", "CLAUSE")]
+
+
+def label_patterns(spark, d):
+    """Spans of the labels whose patterns need no look-around, names that are none left out."""
+    t = F.col("full_text")
+    parts = []
+    for label, rx, group in PLAIN:
+        found = S.matches(t, rx, label, group)
+        parts.append(F.filter(found, lambda s: ~F.split(s["text"], r"\s+")[0].isin(*S.NOT_NAMES)) if label in ("DEFENDANT", "PLAINTIFF", "VICTIM", "RELATED_PARTY") else found)
+    return _judgments(spark, d).select("rec_no", F.explode(F.concat(*parts)).alias("s")).groupBy("rec_no", "s.label", "s.text").agg(F.count("*").alias("n"), F.min("s.start").alias("first_at"))
+
+
+def judgment_dates(spark, d):
+    """Dates of a judgment by what stands around them."""
+    return _exploded(_judgments(spark, d), "rec_no", S.dates(F.col("full_text"))).groupBy("rec_no", "text").agg(F.count("*").alias("n"), F.min("start").alias("first_at"))
+
+
+def factor_phrases(spark, d):
+    """Mitigating and aggravating phrases in sentences made of them, in capitals, with line ends and without accents."""
+    k = F.col("rec_no").cast("int")
+    pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), by % len(words) + 1)
+    m, a = pick(S.MITIGATING, k), pick(S.AGGRAVATING, k)
+    text = F.concat(F.lit("Bị cáo đã "), F.when(k % 2 == 0, F.upper(m)).otherwise(F.replace(m, F.lit(" "), F.lit("\n"))), F.lit(", nhưng thuộc trường hợp "), a, F.lit("."))
+    p = spark.read.parquet(f"{d}/precedents.parquet").select("rec_no", S.factors(text).alias("f"))
+    return _exploded(p, "rec_no", F.col("f")).select("rec_no", "ord", "label", "start", "end", "text")
+
+
 def span_money_context(spark, d):
     return _judgments(spark, d).select("rec_no", F.explode(S.money(F.col("full_text"))).alias("s")).groupBy("rec_no", "s.label").agg(F.count("*").alias("n"), F.min("s.start").alias("first_at"))
 
@@ -107,7 +136,7 @@ def interval_gaps(spark, d):
     return own.select("l_orderkey", F.explode(S.gaps(F.col("spans"), F.lit(0), F.lit(240))).alias("g")).select("l_orderkey", "g.start", "g.end")
 
 
-QUERIES = {f.__name__: f for f in (span_article_clause, span_money_context, entity_spans, label_counts, factor_spans, sectioning, tokenize, bio_encode, bio_decode, training_chunks, sliding_windows, sentence_windows, first_decided_merge, overlap_resolve, interval_gaps)}
+QUERIES = {f.__name__: f for f in (span_article_clause, label_patterns, judgment_dates, factor_phrases, span_money_context, entity_spans, label_counts, factor_spans, sectioning, tokenize, bio_encode, bio_decode, training_chunks, sliding_windows, sentence_windows, first_decided_merge, overlap_resolve, interval_gaps)}
 _DOCS = "t AS (SELECT doc_id, min(text) AS text FROM gold_texts WHERE text IS NOT NULL GROUP BY doc_id)"
 _SCAN = lambda table, key, text, rx: (
     f"SELECT {key}, unnest(regexp_extract_all({text}, '{rx}')) AS m, unnest(list_slice(string_split_regex({text}, '{rx}'), 1, len(regexp_extract_all({text}, '{rx}')))) AS g, generate_subscripts(regexp_extract_all({text}, '{rx}'), 1) AS i FROM {table}"
@@ -122,7 +151,22 @@ _TAG = (
     "hit AS (SELECT tokens.doc_id, tok, token, tokens.s, tokens.e, ord, sp.s.label AS label, row_number() OVER (PARTITION BY tokens.doc_id, ord ORDER BY tok) AS r FROM tokens JOIN sp ON tokens.doc_id = sp.doc_id AND tokens.s < sp.s.\"end\" AND tokens.e > sp.s.\"start\"), "
     "tag AS (SELECT doc_id, tok, any_value(token) AS token, any_value(s) AS s, any_value(e) AS e, max_by(CASE WHEN r = 1 THEN 'B-' ELSE 'I-' END || label, ord) AS tag FROM hit GROUP BY doc_id, tok)"
 )
+_INNER = lambda label, rx, group: (
+    f"SELECT '{label}' AS label, rec_no, unnest(regexp_extract_all(full_text, '{rx}')) AS m, unnest(regexp_extract_all(full_text, '{rx}', {group})) AS p, unnest(list_slice(string_split_regex(full_text, '{rx}'), 1, len(regexp_extract_all(full_text, '{rx}')))) AS g, generate_subscripts(regexp_extract_all(full_text, '{rx}'), 1) AS i FROM precedents"
+)
+_DATES = lambda rx, kind: f"SELECT '{kind}' AS kind, * FROM ({_SCAN('precedents', 'rec_no', 'full_text', rx)})"
 SQL = {
+    "label_patterns": "WITH "
+    + ", ".join(f"a{n} AS ({_INNER(*p)}), b{n} AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY rec_no ORDER BY i) - CASE WHEN ends_with(m, p) THEN 0 ELSE 1 END AS e FROM a{n})" for n, p in enumerate(PLAIN))
+    + ", u AS ("
+    + " UNION ALL ".join(f"SELECT rec_no, label, p, e - length(p) AS s FROM b{n}" + (" WHERE regexp_extract(p, '^\\S+', 0) NOT IN (" + ", ".join(f"'{w}'" for w in S.NOT_NAMES) + ")" if p[0] in ("DEFENDANT", "PLAINTIFF", "VICTIM", "RELATED_PARTY") else "") for n, p in enumerate(PLAIN))
+    + ") SELECT rec_no, label, p AS text, count(*) AS n, CAST(min(s) AS INTEGER) AS first_at FROM u GROUP BY ALL",
+    "judgment_dates": f"WITH a AS ({_DATES(S.DATE_NUMERIC, 'n')} UNION ALL {_DATES(S.DATE_VERBOSE, 'v')}), b AS (SELECT *, CAST(sum(length(g) + length(m)) OVER (PARTITION BY rec_no, kind ORDER BY i) AS INTEGER) AS e FROM a), "
+    + "c AS (SELECT b.*, e - length(m) AS s, full_text AS t FROM b JOIN precedents USING (rec_no)), d AS (SELECT *, " + ", ".join(f"substr(t, greatest(s - {n}, 0) + 1, least(s, {n})) AS w{n}" for n in (30, 40, 120, 160)) + ", substr(t, e + 1, 160) AS after FROM c) "
+    + rf"SELECT rec_no, m AS text, count(*) AS n, CAST(min(s) AS INTEGER) AS first_at FROM d WHERE CASE WHEN kind = 'n' THEN regexp_matches(w120, '{S.HEADER}') ELSE NOT regexp_matches(w30, '\d+/\d{{4}}/[\p{{L}}\p{{M}}\p{{N}}_-]+\s*$') AND (regexp_matches(after, 'xét\s+xử|tuyên\s+án') OR regexp_matches(w160, '{S.HEADER}') OR regexp_matches(w40, '[Tt]uyên\s+án\s*:?\s*$')) END GROUP BY ALL",
+    "factor_phrases": f"WITH m AS (SELECT {list(S.MITIGATING)} AS ms, {list(S.AGGRAVATING)} AS gs), a AS (SELECT rec_no, ms[CAST(rec_no % {len(S.MITIGATING)} AS INTEGER) + 1] AS m, gs[CAST(rec_no % {len(S.AGGRAVATING)} AS INTEGER) + 1] AS g FROM precedents, m), "
+    "b AS (SELECT rec_no, CASE WHEN rec_no % 2 = 0 THEN upper(m) ELSE replace(m, ' ', chr(10)) END AS x, g FROM a), c AS (SELECT rec_no, 'MITIGATING_FACTOR' AS label, 10 AS s, x FROM b UNION ALL SELECT rec_no, 'AGGRAVATING_FACTOR', 10 + length(x) + length(', nhưng thuộc trường hợp '), g FROM b) "
+    "SELECT rec_no, CAST(row_number() OVER (PARTITION BY rec_no ORDER BY s) - 1 AS INTEGER) AS ord, label, CAST(s AS INTEGER) AS start, CAST(s + length(x) AS INTEGER) AS \"end\", x AS text FROM c",
     "span_article_clause": "WITH a AS ("
     + " UNION ALL ".join(f"SELECT '{label}' AS label, * FROM ({_SCAN('precedents', 'rec_no', 'full_text', rx)})" for label, rx in (("ARTICLE", r"[Đđ]iều\s+\d+[a-zđ]?\b"), ("CLAUSE", r"[Kk]hoản\s+\d+\b"), ("CASE_NUMBER", r"\b\d{1,4}\s*/\s*\d{4}/[A-ZĐ][A-ZĐ0-9]*(?:\s*-\s*[A-ZĐ][A-ZĐ0-9]*)*")))
     + "), b AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY rec_no, label ORDER BY i) - length(m) AS pos FROM a) SELECT rec_no, label, m AS text, count(*) AS n, CAST(min(pos) AS INTEGER) AS first_at FROM b GROUP BY ALL",

@@ -144,7 +144,7 @@ def statute_articles(pages: DataFrame, key: str, text: str) -> DataFrame:
 
     A part or chapter counts where the next line is a title in capitals; a new part ends chapter and section, a new chapter
     the section; of an article given twice the first."""
-    lines = pages.select(key, F.posexplode(F.filter(F.transform(F.split(statute_clean(F.col(text)), "\n"), F.trim), lambda x: (x != "") & (x != "Đang theo dõi"))).alias("pos", "line"))
+    lines = pages.select(key, F.posexplode(F.filter(F.transform(F.split(statute_clean(F.col(text)), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & (x != "Đang theo dõi"))).alias("pos", "line"))
     w = Window.partitionBy(key).orderBy("pos")
     after = F.lead("line").over(w)
     titled = (F.upper(after) == after) & after.rlike(r"\p{L}") & (F.length(after) > 4)
