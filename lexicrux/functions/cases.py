@@ -11,6 +11,17 @@ from lexicrux.functions import text as T
 KINDS = (("hình sự", "hình sự"), ("dân sự", "dân sự"), ("hành chính", "hành chính"), ("kinh doanh", "kinh doanh thương mại"), ("thương mại", "kinh doanh thương mại"), ("lao động", "lao động"), ("hôn nhân", "hôn nhân & gia đình"), ("nuôi con nuôi", "hôn nhân & gia đình"))
 FACTS, REASON = r"NỘI\s*DUNG\s*VỤ\s*ÁN", r"NHẬN\s*ĐỊNH"
 NUMBER = r"(\d+/\d{4}/AL)\b"
+# fixed values: a precedent's line of keywords, its section on the law and what ends it
+KEYWORDS, QUOTED = r"(?iu)T[ừu]\s*kh[óo]a\s*c[ủu]a\s*[áa]n\s*l[ệe]\s*:?(.+)", "[\"“”']([^\"“”']{2,80})[\"“”']"
+LAW_SECTION = r"(?iu)Quy\s*định\s*c[ủu]a\s*ph[áa]p\s*lu[ậa]t\s*li[êe]n\s*quan[^:]*:?"
+LAW_SECTION_END = r"T[ừu]\s*kh[óo]a|N[Ộộ]I\s*DUNG|NH[Ậậ]N\s*[Đđ]|\n\s*\n"
+# fixed values: an article with the law it is of, what a citation that was applied looks like
+PAIR = r"(?iu)Điều\s+(\d+)[^;.\n]{0,80}?((?:Bộ\s*luật|Luật|Nghị\s*định|Thông\s*tư|Nghị\s*quyết|Pháp\s*lệnh|Hiến\s*pháp)[^;,.\n(]{0,70})"
+APPLIED = r"(?iu)(?:điểm\s+[\p{L}\p{N}_]+\s+)?(?:khoản\s+\d+\s+)?Điều\s+\d+"
+# fixed values: how useless answers and preambles begin
+USELESS = ("Xin chào! Tôi là", "trợ lý tư vấn pháp luật Việt Nam", "Báo cáo kiểm tra")
+PREAMBLES = ("bạn ", "dưới đây", "tóm tắt", "yêu cầu", "tôi hiểu", "tôi sẽ", "như sau", "sự việc")
+NO_PENALTY = "(không rõ mức hình phạt)"
 
 
 def kind_of(text: Column) -> Column:
@@ -22,17 +33,16 @@ def kind_of(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Crimes named in a precedent's line of keywords: the quoted ones, else up to six parts between semicolons."""
-    line = F.split(F.regexp_extract(text, r"(?iu)T[ừu]\s*kh[óo]a\s*c[ủu]a\s*[áa]n\s*l[ệe]\s*:?(.+)", 1), "\n")[0]
-    quoted = F.transform(F.regexp_extract_all(line, F.lit("[\"“”']([^\"“”']{2,80})[\"“”']"), F.lit(1)), lambda x: F.trim(x))
+    line = F.split(F.regexp_extract(text, KEYWORDS, 1), "\n")[0]
+    quoted = F.transform(F.regexp_extract_all(line, F.lit(QUOTED), F.lit(1)), lambda x: F.trim(x))
     parts = F.filter(F.transform(F.split(line, ";"), lambda p: F.btrim(p, F.lit(" .\t"))), lambda p: (F.length(p) > 2) & (F.length(p) < 80))
     return F.when(F.size(quoted) > 0, quoted).otherwise(F.slice(parts, 1, 6))
 
 
 def main_articles(text: Column, title: Column) -> Column:
     """Articles of a precedent's section on the law: from its 600 characters up to the next heading, at most 8; else the title's."""
-    head = r"(?iu)Quy\s*định\s*c[ủu]a\s*ph[áa]p\s*lu[ậa]t\s*li[êe]n\s*quan[^:]*:?"
-    rest = F.substring(F.regexp_extract(text, f"(?s){head}(.*)$", 1), 1, 600)
-    own = T.article_refs(F.split(rest, r"T[ừu]\s*kh[óo]a|N[Ộộ]I\s*DUNG|NH[Ậậ]N\s*[Đđ]|\n\s*\n")[0])
+    rest = F.substring(F.regexp_extract(text, f"(?s){LAW_SECTION}(.*)$", 1), 1, 600)
+    own = T.article_refs(F.split(rest, LAW_SECTION_END)[0])
     return F.when(F.size(own) > 0, F.slice(own, 1, 8)).otherwise(T.article_refs(title))
 
 
@@ -54,7 +64,7 @@ def first_texts(spans: DataFrame, key: str, most: int = 12) -> DataFrame:
 def pronounced_penalty(penalties: Column) -> Column:
     """Of the first five the one with its number in words, else the first."""
     five = F.slice(penalties, 1, 5)
-    return F.coalesce(F.try_element_at(F.filter(five, lambda p: p.rlike(r"\d+\s*\([^)\d]+\)")), F.lit(1)), F.try_element_at(five, F.lit(1)), F.lit("(không rõ mức hình phạt)"))
+    return F.coalesce(F.try_element_at(F.filter(five, lambda p: p.rlike(r"\d+\s*\([^)\d]+\)")), F.lit(1)), F.try_element_at(five, F.lit(1)), F.lit(NO_PENALTY))
 
 
 def offence_basis(bases: Column) -> Column:
@@ -65,16 +75,15 @@ def offence_basis(bases: Column) -> Column:
 
 
 def applied_citations(basis: Column) -> Column:
-    found = F.regexp_extract_all(basis, F.lit(r"(?iu)(?:điểm\s+[\p{L}\p{N}_]+\s+)?(?:khoản\s+\d+\s+)?Điều\s+\d+"), F.lit(0))
+    found = F.regexp_extract_all(basis, F.lit(APPLIED), F.lit(0))
     return F.array_join(F.slice(F.array_distinct(F.transform(found, lambda c: F.regexp_replace(c, r"\s+", " "))), 1, 4), "; ")
 
 
 def pairs(spans: DataFrame, key: str, most: int = 8) -> DataFrame:
     """key, ord, article, law: pairs of article and law in LEGAL_BASIS and ARTICLE spans; an article without a law gets the
     document's first LAW_NAME, where it isn't paired yet. The first `most`, each article and law once."""
-    rx = r"(?iu)Điều\s+(\d+)[^;.\n]{0,80}?((?:Bộ\s*luật|Luật|Nghị\s*định|Thông\s*tư|Nghị\s*quyết|Pháp\s*lệnh|Hiến\s*pháp)[^;,.\n(]{0,70})"
     base = spans.where(F.col("label").isin("LEGAL_BASIS", "ARTICLE")).select(key, F.when(F.col("label") == "LEGAL_BASIS", 0).otherwise(1).alias("o1"), F.col("start").alias("o2"), "text")
-    named = base.select(key, F.lit(0).alias("o0"), "o1", "o2", F.posexplode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).alias("o3", "m")).select(key, "o0", "o1", "o2", "o3", F.regexp_extract("m", rx, 1).cast("int").alias("article"), F.btrim(F.regexp_extract("m", rx, 2), F.lit(" ,;.")).alias("law"))
+    named = base.select(key, F.lit(0).alias("o0"), "o1", "o2", F.posexplode(F.regexp_extract_all("text", F.lit(PAIR), F.lit(0))).alias("o3", "m")).select(key, "o0", "o1", "o2", "o3", F.regexp_extract("m", PAIR, 1).cast("int").alias("article"), F.btrim(F.regexp_extract("m", PAIR, 2), F.lit(" ,;.")).alias("law"))
     default = spans.where("label = 'LAW_NAME' AND trim(text) <> ''").groupBy(key).agg(F.min_by(F.trim("text"), "start").alias("law"))
     bare = base.select(key, F.lit(1).alias("o0"), "o1", "o2", F.posexplode(F.regexp_extract_all("text", F.lit(r"Điều\s+(\d+)"), F.lit(1))).alias("o3", "a")).withColumn("article", F.col("a").cast("int")).drop("a")
     bare = bare.join(named.select(key, "article").distinct(), [key, "article"], "left_anti").join(default, key).select(*named.columns)
@@ -105,14 +114,13 @@ def retrieval_query(turns: DataFrame, key: str) -> DataFrame:
 def useless(answer: Column) -> Column:
     """Whether an answer is a greeting or a form instead of an analysis."""
     head = F.substring(answer, 1, 120)
-    return F.contains(head, F.lit("Xin chào! Tôi là")) | F.contains(head, F.lit("trợ lý tư vấn pháp luật Việt Nam")) | F.contains(head, F.lit("Báo cáo kiểm tra"))
+    return F.exists(F.array(*map(F.lit, USELESS)), lambda m: F.contains(head, m))
 
 
 def without_preamble(answer: Column) -> Column:
     """An answer without the sentences it begins with that only announce it."""
-    marks = ("bạn ", "dưới đây", "tóm tắt", "yêu cầu", "tôi hiểu", "tôi sẽ", "như sau", "sự việc")
     parts = F.split(F.trim(answer), r"(?<=[.:])\s+")
-    lead = lambda p: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(F.lower(p), m))
+    lead = lambda p: F.exists(F.array(*map(F.lit, PREAMBLES)), lambda m: F.contains(F.lower(p), m))
     keep = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when((F.size(acc) == 0) & lead(p), acc).otherwise(F.array_append(acc, p)))
     return F.coalesce(F.nullif(F.trim(F.array_join(keep, " ")), F.lit("")), F.trim(answer))
 

@@ -98,7 +98,11 @@ def clauses(articles: DataFrame) -> DataFrame:
     return out.select("law_key", "so_dieu", "so_khoan", "noi_dung", F.coalesce("points", F.array().cast("array<struct<ky_hieu:string,noi_dung:string>>")).alias("points"))
 
 
+# fixed values: how the frames of a clause are worded
 _N = r"(\d[\d.,]*)"
+RANGE, FIXED = rf"(?iu)phạt tù\s+từ\s+{_N}\s*(năm|tháng)\s+đến\s+{_N}\s*(năm|tháng)", rf"(?iu)phạt tù\s+{_N}\s*(năm|tháng)(?![\p{{L}}\p{{N}}_])(?!\s*đến)"
+FINES, FINE = rf"(?iu)phạt tiền\s+từ\s+{_N}\s*đồng\s+đến\s+{_N}\s*đồng", rf"(?iu)phạt tiền\s+{_N}\s*đồng(?![\p{{L}}\p{{N}}_])(?!\s*đến)"
+REFORM = rf"(?iu)cải tạo không giam giữ\s+đến\s+{_N}\s*(năm|tháng)"
 
 
 def years(value: Column, unit: Column, digits: int = 4) -> Column:
@@ -110,11 +114,7 @@ def penalty_frames(c: Column) -> Column:
     frame = "struct<kind:string,min:double,max:double,unit:string,raw:string>"
     one = lambda kind, lo, hi, unit, raw: F.struct(F.lit(kind).alias("kind"), lo.cast("double").alias("min"), hi.cast("double").alias("max"), (F.lit(unit) if unit else F.lit(None).cast("string")).alias("unit"), raw.alias("raw"))
     null = F.lit(None)
-    rng = rf"(?iu)phạt tù\s+từ\s+{_N}\s*(năm|tháng)\s+đến\s+{_N}\s*(năm|tháng)"
-    fix = rf"(?iu)phạt tù\s+{_N}\s*(năm|tháng)(?![\p{{L}}\p{{N}}_])(?!\s*đến)"
-    fine = rf"(?iu)phạt tiền\s+từ\s+{_N}\s*đồng\s+đến\s+{_N}\s*đồng"
-    fine1 = rf"(?iu)phạt tiền\s+{_N}\s*đồng(?![\p{{L}}\p{{N}}_])(?!\s*đến)"
-    reform = rf"(?iu)cải tạo không giam giữ\s+đến\s+{_N}\s*(năm|tháng)"
+    rng, fix, fine, fine1, reform = RANGE, FIXED, FINES, FINE, REFORM
     ex = lambda rx, g, t=c: F.regexp_extract(t, rx, g)
     num = lambda x, money=False: T.number_of(x, F.lit(money))
     ranges = F.transform(F.regexp_extract_all(c, F.lit(rng), F.lit(0)), lambda m: one("tu_co_thoi_han", years(num(F.regexp_extract(m, rng, 1)), F.regexp_extract(m, rng, 2)), years(num(F.regexp_extract(m, rng, 3)), F.regexp_extract(m, rng, 4)), "nam", F.trim(m)))
@@ -232,3 +232,9 @@ def charge_match(crime: Column, title: Column) -> Column:
     cw, tw = F.array_distinct(F.split(c, r"\s+")), F.array_distinct(F.split(t, r"\s+"))
     near = F.size(F.array_intersect(cw, tw)) / F.size(cw) >= 0.7
     return F.when((F.coalesce(crime, F.lit("")) == "") | (F.coalesce(title, F.lit("")) == "") | (F.length(c) < 4), "uncertain").when(F.contains(t, c) | F.contains(c, t) | near, "true").otherwise("uncertain")
+
+
+def charge_of_any(crimes: Column, titles: Column) -> Column:
+    """The best of all crimes against all titles: true if one fits, else uncertain."""
+    fits = F.exists(crimes, lambda c: F.exists(titles, lambda t: charge_match(c, t) == "true"))
+    return F.when(F.coalesce(fits, F.lit(False)), "true").otherwise("uncertain")

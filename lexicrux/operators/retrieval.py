@@ -49,6 +49,20 @@ def passages(text: Column, target: int = 900, overlap: int = 150) -> Column:
     return F.coalesce(F.aggregate(T.sentences(text), state(F.lit(""), none), step, end), none)
 
 
+def chunked(docs: DataFrame, text: str, store: DataFrame | None) -> DataFrame:
+    """hash, chunk, text, made (new or kept): passages of every different text, those of texts the store holds as it has them.
+
+    store: hash, chunk, text of an earlier call; texts are told apart by their SHA-1, so that a text is cut once however
+    often and in whatever document it comes again."""
+    own = docs.where(F.col(text).isNotNull()).groupBy(F.sha1(text).alias("hash")).agg(F.first(text).alias("whole"))
+    kept = None
+    if store is not None:
+        kept = store.select("hash", "chunk", "text").join(own.select("hash"), "hash", "left_semi").withColumn("made", F.lit("kept"))
+        own = own.join(store.select("hash").distinct(), "hash", "left_anti")
+    new = own.select("hash", F.posexplode(passages(F.col("whole"))).alias("chunk", "text")).withColumn("made", F.lit("new"))
+    return new if kept is None else new.unionByName(kept)
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """key, score of every document that holds a term. Counts of the query's terms only leave the scan, one row a document;
     document frequencies and the mean length are counted over all documents."""

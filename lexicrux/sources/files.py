@@ -181,11 +181,15 @@ def backfilled(first: DataFrame, second: DataFrame, keys: list[str], columns: li
     return first.select(*keys, *columns).withColumn("origin", F.lit("first")).unionByName(gap.select(*keys, *columns).withColumn("origin", F.lit("second")))
 
 
+# fixed values: titles about a principle, and those that name a file; what each counts, and the length that counts fully
+PRINCIPLE, NAMES_FILE, WEIGHT, FULL_LENGTH = r"al\s+về|^về\s", r"^(?:quyết định|bản án|số:|quyết đinh)", 3.0, 120
+
+
 def portal_links(anchors: DataFrame, key: str, title: str, href: str) -> DataFrame:
     """One record per key out of its anchors: the best title and a link. A title about a principle counts for 3, one that names
     the file against it for 3, length a little; of equals the first."""
     low = F.lower(F.col(title))
-    score = F.when(low.rlike(r"al\s+về|^về\s"), 3.0).otherwise(0.0) - F.when(low.rlike(r"^(?:quyết định|bản án|số:|quyết đinh)"), 3.0).otherwise(0.0) + F.least(F.length(title), F.lit(120)) / 120.0
+    score = F.when(low.rlike(PRINCIPLE), WEIGHT).otherwise(0.0) - F.when(low.rlike(NAMES_FILE), WEIGHT).otherwise(0.0) + F.least(F.length(title), F.lit(FULL_LENGTH)) / float(FULL_LENGTH)
     w = Window.partitionBy(key)
     ranked = anchors.withColumn("s_", score).withColumn("rn_", F.row_number().over(w.orderBy(F.desc("s_"), "pos"))).withColumn("href_", F.first(href, True).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     clean = F.trim(F.regexp_replace(title, r"^Án lệ số\s*\d+/\d{4}/AL\s*", ""))

@@ -13,6 +13,8 @@ KEY = "spark.checkpoint.dir"
 
 
 _OWN: dict[str, str] = {}
+#: Stages of each application that are still there.
+_THERE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,7 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _THERE.setdefault(spark.sparkContext.applicationId, []).append(at)
     return spark.read.parquet(at)
 
 
@@ -51,6 +54,14 @@ def unstage(*dfs: DataFrame) -> None:
                 p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Drop all stages this application has written, once the results that read them are written themselves."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    for at in _THERE.pop(sc.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def bounded(df: DataFrame, most: int, what: str) -> list:
     """Rows of a table whose size has a stated bound; a larger one is refused, never cut short."""
     rows = df.limit(most + 1).collect()
