@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexicrux.llm.tokens import spans
@@ -143,8 +143,28 @@ def p1_found(spark, d: str) -> DataFrame:
     return pieces.where("piece_no = 2").select("rec_no", "config_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+def p1_kept(spark, d: str) -> DataFrame:
+    """What must hold of the pieces, per configuration: every token is in them, none is too large, none is missing between two,
+    and each shares as many tokens with the one before as asked for."""
+    conf = spark.read.parquet(f"{d}/tokenizer_config.parquet").select("config_id", (F.col("model_max_length") - F.coalesce("special_tokens", F.lit(0))).alias("room"), F.coalesce("overlap_tokens", F.lit(0)).alias("overlap"))
+    pieces = split_pieces(spark.read.parquet(f"{d}/precedents.parquet"), spark.read.parquet(f"{d}/tokenizer_config.parquet"), with_text=False)
+    w = Window.partitionBy("rec_no", "config_id").orderBy("piece_no")
+    x = pieces.join(F.broadcast(conf), "config_id").withColumn("before", F.lag("end_token").over(w))  # the table of configurations is fixed
+    one = x.groupBy("config_id", "rec_no").agg(
+        F.max("end_token").alias("tokens"), F.count_if(F.col("end_token") - F.col("first_token") > F.col("room")).alias("large"),
+        F.count_if(F.coalesce(F.col("before") - F.col("first_token"), F.when(F.col("first_token") == 0, F.col("shared_tokens")).otherwise(-1)) != F.col("shared_tokens")).alias("gaps"),
+        F.count_if(F.col("before").isNotNull() & (F.col("shared_tokens") != F.col("overlap"))).alias("wrong"),
+    )
+    return one.groupBy("config_id").agg(F.count("*").alias("texts"), *(F.sum(c).alias(c) for c in ("tokens", "large", "gaps", "wrong")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_kept": p1_kept}
 SQL = {
+    "p1_kept": r"""
+WITH n AS (SELECT len(regexp_extract_all(full_text, '[^ \t\n]+')) AS n FROM precedents)
+SELECT config_id, count(*) AS texts, CAST(sum(n) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS large, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS wrong
+FROM n JOIN tokenizer_config ON n > model_max_length - special_tokens GROUP BY config_id
+""",
     "p1_found": r"""
 SELECT p.rec_no, c.config_id FROM precedents p JOIN tokenizer_config c
 ON len(regexp_extract_all(p.full_text, '[^ \t\n]+')) > c.model_max_length - c.special_tokens
