@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexicrux.plans import search
 from lexicrux.plans.spans import _DOCS, _TAG, _TOK
 
 _SORTED = "regexp_replace(regexp_replace({c}, '([.!?;…])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g')"
@@ -103,3 +104,6 @@ SQL |= {
     "citation_parse": f"WITH {_PARSED} SELECT cit_id, so_dieu, so_khoan, diem, law, law_text, ord FROM k",
     "citation_reattach": f"WITH {_PARSED}, {_HELD}, best AS (SELECT cit_id, law_key, so_dieu, so_khoan, diem, min({{'way': way, 'd': d2, 'k': k2}}) AS b FROM ways GROUP BY ALL) SELECT cit_id, 0 AS chain, law_key, so_dieu, so_khoan, diem, b.way AS way, CAST(b.d AS INTEGER) AS to_dieu, CAST(b.k AS INTEGER) AS to_khoan FROM best",
 }
+
+_RANKED = search._BM25("pd", "id", "text", search._TERMS).replace("w AS (", "ww AS (", 1).replace("FROM w", "FROM ww")
+SQL["passage_bm25"] = f"WITH RECURSIVE {_PASSAGES}, pd AS (SELECT rec_no || '#' || chunk AS id, text FROM c), {_RANKED} SELECT k AS id, round(score, 6) AS score FROM sc ORDER BY 2 DESC, 1 LIMIT 20"
