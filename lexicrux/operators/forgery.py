@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lexicrux.functions.text import pdf_timestamp
 
@@ -87,6 +92,31 @@ def _finding(signal: str, severity: Column) -> Column:
     return F.struct(F.lit(signal).alias("signal"), severity.alias("severity"))
 
 
+# fixed values: when a pixel is the red of a seal, and the share of such pixels that makes a region
+RED, OVER_OTHERS, RED_SHARE = 120, 60, 0.004
+
+
+@F.pandas_udf(DoubleType())
+def red_share(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Share of pixels that are strongly red, of rows of bytes in the order red, green, blue; null without a pixel."""
+
+    def one(data: bytes | None) -> float | None:
+        if data is None or len(data) < 3:
+            return None
+        p = np.frombuffer(data, np.uint8)[: len(data) // 3 * 3].reshape(-1, 3).astype(np.int16)
+        return float(((p[:, 0] > RED) & (p[:, 0] - p[:, 1] > OVER_OTHERS) & (p[:, 0] - p[:, 2] > OVER_OTHERS)).mean())
+
+    for s in parts:
+        yield s.map(one).astype("float64")
+
+
+def seal_pages(pages: DataFrame, key: str, page: str, pixels: str) -> DataFrame:
+    """key, images (pages with pixels) and seal_pages, the numbers of pages with a red region."""
+    red = F.col("red_") > RED_SHARE
+    x = pages.select(key, page, red_share(F.col(pixels)).alias("red_"))
+    return x.groupBy(key).agg(F.count("red_").cast("int").alias("images"), F.array_sort(F.collect_list(F.when(red, F.col(page)))).alias("seal_pages"))
+
+
 def seal_findings(docs: DataFrame, key: str) -> DataFrame:
     """A light sign where pages carry images (column images, their number) but none a red region (seal_pages, their numbers)."""
     missing = (F.col("images") > 0) & (F.coalesce(F.size("seal_pages"), F.lit(0)) <= 0)

@@ -12,12 +12,15 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from lexicrux.operators import forgery as G
 from lexicrux.operators import law as L
 from lexicrux.operators import retrieval as R
-from lexicrux.plans import proofs
+from lexicrux.plans import proofs, texts
+from lexicrux.plans.records import _KINDS
 from lexicrux.sources import files as Files
 from lexicrux.sources import pdf as P
 from lexicrux.staging import shared_dir
+from lexicrux.streaming.jobs import ingest, job_states
 
 
 def _t(spark, d, name):
@@ -116,11 +119,79 @@ def chunk_store(spark, d):
     return every.groupBy("made").agg(F.count_distinct("hash").alias("texts"), F.count("*").alias("chunks"))
 
 
-QUERIES = {f.__name__: f for f in (pdf_texts, pdf_features, docx_texts, json_lines, link_titles, charges_of_any, chunk_store)}
+@F.pandas_udf(BinaryType())
+def _pixels(no: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """A page of 1,000 pixels of which a line number's worth is red; the pages of some suppliers have none."""
+    for lines, supp in no:
+        yield pd.Series([None if s % 4 == 0 else bytes([200, 20, 20]) * int(n) + bytes([90, 90, 90]) * (1000 - int(n)) for n, s in zip(lines, supp)])
+
+
+def seal_regions(spark, d):
+    """Pages with a red region, and documents with images but none."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("page"), _pixels("l_linenumber", "l_suppkey").alias("px"))
+    docs = G.seal_pages(li, "l_orderkey", "page", "px")
+    return docs.join(G.seal_findings(docs, "l_orderkey"), "l_orderkey", "left").select("l_orderkey", "images", F.size("seal_pages").alias("seals"), "signal")
+
+
+def fragment_articles(spark, d):
+    """Articles put together from fragments, a clause's text once."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", ((F.col("l_partkey") * 100_000 + F.col("l_suppkey")) * 100 + F.col("l_linenumber") * 2 + (F.col("l_linestatus") == "O").cast("int")).alias("pos"), F.concat(F.lit("Điều "), F.col("l_orderkey").cast("string"), F.lit(".")).alias("head"), F.col("l_returnflag").alias("clause"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).otherwise(" ").alias("point"), F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("tail"))
+    return Files.joined_fragments(li, "l_orderkey", "pos", "head", "clause", "point", "tail")
+
+
+def seed_records(spark, d):
+    p = _t(spark, d, "precedents").select("case_number", "title", F.lit("").alias("text"))
+    return Files.seeded(p, "case_number", "title", "text").groupBy("title", "case_type", "facts_summary").agg(F.count("*").alias("n"))
+
+
+def crawl_kept(spark, d):
+    """How many judgments a crawl of one kind keeps, and of how many sources."""
+    c = texts.crawl_classify(spark, d).join(_t(spark, d, "precedents").select("rec_no", "source"), "rec_no")
+    kept = lambda only: Files.of_kind(c, F.col("criminal"), F.col("civil"), only).groupBy("source").agg(F.count("*").alias("kept")).select(F.lit(only or "all").alias("only"), "source", "kept")
+    return kept(None).unionByName(kept("criminal")).unionByName(kept("civil"))
+
+
+def ingested_events(spark, d):
+    """Events taken in by a stream from files, in two runs over the same checkpoint: each once."""
+    at = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    schema = "event_id BIGINT, user_id BIGINT, event_type STRING"
+    own = _t(spark, d, "events").select("event_id", F.col("user_id").cast("bigint").alias("user_id"), "event_type")
+    own.where("event_type = 'view'").write.parquet(f"{at}/in")
+    for more in (True, False):
+        ingest(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", schema)
+        if more:
+            own.where("event_type IS NULL OR event_type <> 'view'").write.mode("append").parquet(f"{at}/in")
+    return spark.read.schema(schema).parquet(f"{at}/out").groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("different"))
+
+
+def streamed_jobs(spark, d):
+    """States of jobs kept by a stream over a log of steps, some late and some twice, by their last change."""
+    at = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.explode(F.array(F.struct(F.lit("queued").alias("status"), F.lit(0).cast("bigint").alias("seq")), F.struct(F.lit("running").alias("status"), F.lit(1).cast("bigint").alias("seq")), F.struct(F.lit("running").alias("status"), F.lit(1).cast("bigint").alias("seq")), F.struct(F.when(F.col("o_orderstatus") == "F", "error").otherwise("done").alias("status"), F.lit(2).cast("bigint").alias("seq")))).alias("s")).select("job_id", "s.*")
+    o.write.parquet(f"{at}/in")
+    states = job_states(spark.readStream.schema("job_id STRING, status STRING, seq BIGINT").parquet(f"{at}/in"))
+
+    def put(batch, no: int) -> None:
+        batch.withColumn("batch", F.lit(no)).write.mode("append").parquet(f"{at}/out")
+
+    states.writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    last = spark.read.parquet(f"{at}/out").groupBy("job_id").agg(F.max_by("status", "seq").alias("status"), F.max("events").alias("events"))
+    return last.groupBy("status", "events").agg(F.count("*").alias("jobs"))
+
+
+QUERIES = {f.__name__: f for f in (seal_regions, fragment_articles, seed_records, crawl_kept, ingested_events, streamed_jobs, pdf_texts, pdf_features, docx_texts, json_lines, link_titles, charges_of_any, chunk_store)}
 
 _TEXT = r"t AS (SELECT rec_no, regexp_replace(full_text, '[^\n -~À-ỹ]', ' ', 'g') AS t FROM precedents)"
 _CUTS = proofs._PASSAGES.replace("FROM precedents WHERE full_text IS NOT NULL", "FROM every").replace("SELECT rec_no, list_filter", "SELECT hash AS rec_no, list_filter", 1)
 SQL = {
+    "seal_regions": "WITH p AS (SELECT l_orderkey, l_suppkey % 4 <> 0 AS i, l_suppkey % 4 <> 0 AND l_linenumber > 4 AS r FROM lineitem), g AS (SELECT l_orderkey, CAST(count(*) FILTER (i) AS INTEGER) AS images, CAST(count(*) FILTER (r) AS INTEGER) AS seals FROM p GROUP BY l_orderkey) SELECT *, CASE WHEN images > 0 AND seals = 0 THEN 'seal.absent_low_confidence' END AS signal FROM g",
+    "fragment_articles": """
+WITH a AS (SELECT l_orderkey, (l_partkey * 100000 + l_suppkey) * 100 + l_linenumber * 2 + CAST(l_linestatus = 'O' AS INTEGER) AS pos, l_returnflag AS c, CASE WHEN l_linenumber % 2 = 0 THEN nullif(trim(l_linestatus), '') END AS p, 't' || l_partkey AS t, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY (l_partkey * 100000 + l_suppkey) * 100 + l_linenumber * 2 + CAST(l_linestatus = 'O' AS INTEGER)) AS r FROM lineitem),
+b AS (SELECT l_orderkey, pos, concat_ws(chr(10), CASE WHEN r = 1 THEN nullif(trim(c), '') END, p, t) AS x FROM a) SELECT l_orderkey, 'Điều ' || l_orderkey || '.' || chr(10) || string_agg(x, chr(10) ORDER BY pos, x) AS text FROM b GROUP BY l_orderkey""",
+    "seed_records": f"WITH a AS (SELECT 'Án lệ số ' || case_number || coalesce(' — ' || nullif(title, ''), '') AS title, {_KINDS("coalesce(title, '')")} AS case_type, coalesce(nullif(trim(coalesce(title, ''), '. '), ''), coalesce(title, '')) AS facts_summary FROM precedents WHERE case_number IS NOT NULL) SELECT title, case_type, facts_summary, count(*) AS n FROM a GROUP BY ALL",
+    "crawl_kept": f"WITH k AS ({texts.SQL['crawl_classify']}), a AS (SELECT source, criminal, civil FROM k JOIN precedents USING (rec_no)) SELECT 'all' AS only, source, count(*) AS kept FROM a GROUP BY source UNION ALL SELECT 'criminal', source, count(*) FROM a WHERE criminal GROUP BY source UNION ALL SELECT 'civil', source, count(*) FROM a WHERE civil GROUP BY source",
+    "ingested_events": "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS different FROM events GROUP BY event_type",
+    "streamed_jobs": "SELECT CASE WHEN o_orderstatus = 'F' THEN 'error' ELSE 'done' END AS status, CAST(3 AS BIGINT) AS events, count(*) AS jobs FROM orders GROUP BY 1",
     "chunk_store": f"WITH RECURSIVE known AS (SELECT DISTINCT sha1(text) AS hash FROM ocr_results WHERE text IS NOT NULL), every AS (SELECT DISTINCT sha1(full_text) AS hash, full_text FROM (SELECT text AS full_text FROM ocr_results UNION ALL SELECT full_text FROM precedents) WHERE full_text IS NOT NULL), {_CUTS} "
     "SELECT CASE WHEN hash IS NULL THEN 'new' ELSE 'kept' END AS made, count(DISTINCT rec_no) AS texts, count(*) AS chunks FROM c LEFT JOIN known ON rec_no = hash GROUP BY 1",
     "pdf_texts": rf"WITH {_TEXT}, u AS (SELECT rec_no, substr(t, 1, 300) || chr(10) || chr(10) || coalesce(nullif(substr(t, 301, 300), ''), '-') || chr(10) || chr(10) || 'x' || chr(10) AS x FROM t), v AS (SELECT *, length(regexp_replace(coalesce(x, ''), '\s+', '', 'g')) < 200 AS s FROM u) "

@@ -163,6 +163,32 @@ def statute_articles(pages: DataFrame, key: str, text: str) -> DataFrame:
     return own.withColumn("rn_", first).where("rn_ = 1").select(key, "so_dieu", "phan", "chuong", "muc", "text")
 
 
+def joined_fragments(rows: DataFrame, key: str, pos: str, head: str, clause: str, point: str, tail: str) -> DataFrame:
+    """key, text: an article out of its fragments in order: its heading, then of each fragment the clause where it is there for
+    the first time, the point and the rest; blank parts are left out."""
+    cell = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    x = rows.select(key, F.col(pos).alias("p_"), cell(head).alias("h_"), cell(clause).alias("c_"), cell(point).alias("d_"), cell(tail).alias("t_"))
+    first = F.row_number().over(Window.partitionBy(key, "c_").orderBy("p_")) == 1
+    x = x.withColumn("c_", F.when(first, F.col("c_")))
+    part = F.struct("p_", F.concat_ws("\n", "c_", "d_", "t_").alias("t"))
+    g = x.groupBy(key).agg(F.min_by("h_", "p_").alias("h_"), F.array_sort(F.collect_list(part)).alias("ps"))
+    return g.select(key, F.concat_ws("\n", "h_", F.nullif(F.array_join(F.filter(F.transform("ps", lambda x: x["t"]), lambda t: t != ""), "\n"), F.lit(""))).alias("text"))
+
+
+def seeded(rows: DataFrame, number: str, title: str, text: str) -> DataFrame:
+    """Records of precedents to be stored, of rows with their number and title and perhaps their text, each with its shown title."""
+    from lexicrux.functions.cases import metadata_record
+
+    r = metadata_record(F.col(number), F.coalesce(title, F.lit("")), F.col(text))
+    name = F.concat(F.lit("Án lệ số "), F.col(number), F.coalesce(F.concat(F.lit(" — "), F.nullif(F.col(title), F.lit(""))), F.lit("")))
+    return rows.where(F.col(number).isNotNull()).select(name.alias("title"), r.alias("r")).select("title", "r.*")
+
+
+def of_kind(rows: DataFrame, criminal: Column, civil: Column, only: str | None = None) -> DataFrame:
+    """What a crawl keeps: all, or with only = criminal or civil those of that kind."""
+    return rows if only is None else rows.where(criminal if only == "criminal" else civil)
+
+
 def article_blocks(text: Column) -> Column:
     """(so_dieu, text) of a file of blocks headed `=== Điều N ===`."""
     blocks = F.filter(F.split(F.concat(F.lit("\n"), text), r"\n(?==== Điều \d+ ===)"), lambda b: b.rlike(r"^=== Điều \d+ ==="))

@@ -123,3 +123,38 @@ def test_records_of_cases(spark):
     rec = C.case_record(spark.createDataFrame([("d", None), ("e", "văn bản")], "k STRING, text STRING"), spans, "k", "text").collect()
     assert {x.k: (x.court, x.crimes, x.full_text) for x in rec} == {"d": ("", ["Cướp", "Trộm"], ""), "e": ("", [], "văn bản")}
     assert one(spark, "q", lambda c: C.request_body(c, "m", F.lit(""), F.lit(None).cast("string"))) == '{"model":"m","messages":[{"role":"user","content":"q"}],"stream":false,"temperature":0.2,"skip_router":true}'
+
+
+def test_pdf_files_are_read():
+    import zlib
+
+    from lexicrux.plans.stores import pdf_bytes
+    from lexicrux.sources.pdf import read
+
+    got = read(pdf_bytes(5, ["Tòa án\nnhân dân", "hai", "ba"]))
+    assert got["error"] is None and [p["text"] for p in got["pages"]] == ["Tòa án\nnhân dân\n", "hai\n", "ba\n"]
+    assert [p["rotation"] for p in got["pages"]] == [0, 0, 90] and got["pages"][0]["fonts"] == ["Serif"] and got["pages"][0]["annots"] == ["Stamp"]
+    # octal and escaped strings without a map, objects inside an object stream
+    inner = b"1 0 2 36 << /Type /Catalog /Pages 2 0 R >>     << /Type /Pages /Kids [3 0 R] >>"
+    body = zlib.compress(inner)
+    data = b"%PDF-1.5\n9 0 obj\n<< /Type /ObjStm /N 2 /First 9 /Filter /FlateDecode >> stream\n" + body + b"\nendstream\nendobj\n3 0 obj\n<< /Type /Page /Contents 4 0 R >>\nendobj\n4 0 obj\n<< >> stream\nBT (a\\(b\\)\\101) Tj 0 -5 Td [(c) -20 (d)] TJ ET\nendstream\nendobj\n"
+    assert read(data)["pages"][0]["text"] == "a(b)A\ncd\n"
+    assert read(None)["error"] == read(b"")["error"] == read(b"hello")["error"] == "not_pdf" and read(b"%PDF-1.4 nothing")["error"] == "no_pages"
+    broken = pdf_bytes(1, ["x"]).replace(b"stream\n", b"stream\n\x00", 2)
+    assert read(broken)["error"] in (None, "unreadable: error")
+
+
+def test_chunks_are_made_once(spark):
+    docs = spark.createDataFrame([("một. hai.",), ("một. hai.",), (None,), ("ba.",)], "text STRING")
+    store = R.chunked(docs, "text", None)
+    assert sorted(r.text for r in store.collect()) == ["ba.", "một. hai."]
+    more = R.chunked(docs.union(spark.createDataFrame([("bốn.",)], "text STRING")), "text", store)
+    assert sorted((r.text, r.made) for r in more.collect()) == [("ba.", "kept"), ("bốn.", "new"), ("một. hai.", "kept")]
+
+
+def test_fragments_and_seals(spark):
+    rows = [("a", 1, "Điều 1.", "1. Một", None, "x"), ("a", 2, "Điều 1.", "1. Một", "a) b", " "), ("a", 3, None, "2. Hai", None, None), ("b", 1, "Điều 2.", None, None, None)]
+    got = {r.k: r.text for r in Files.joined_fragments(spark.createDataFrame(rows, "k STRING, p INT, h STRING, c STRING, d STRING, t STRING"), "k", "p", "h", "c", "d", "t").collect()}
+    assert got == {"a": "Điều 1.\n1. Một\nx\na) b\n2. Hai", "b": "Điều 2."}
+    px = spark.createDataFrame([(1, 1, bytes([200, 10, 10] * 10 + [0, 0, 0] * 90)), (1, 2, bytes([200, 190, 10] * 10)), (2, 1, None), (3, 1, b"")], "k INT, page INT, px BINARY")
+    assert {r.k: (r.images, r.seal_pages) for r in G.seal_pages(px, "k", "page", "px").collect()} == {1: (2, [1]), 2: (0, []), 3: (0, [])}
