@@ -402,13 +402,18 @@ class Editor:
 
     @staticmethod
     @lru_cache(100_000)
-    def shape(line: str) -> str:
+    def _shape(line: str) -> str:
         return SHAPED.sub("0", line.strip().lower())
 
+    @classmethod
+    def shape(cls, line: str) -> str:
+        """Lines that may be furniture come again in other texts; paragraphs aren't kept."""
+        return cls._shape(line) if len(line) <= 2 * WIDE else cls._shape.__wrapped__(line)
+
     @staticmethod
     @lru_cache(100_000)
     def outline(shape: str) -> str:
-        return LETTERED.sub("w", shape)[:24]
+        return LETTERED.sub("w", shape[:400])[:24]
 
     def line_features(self, lines: list[str], i: int, shapes: Counter) -> list[str]:
         """lines: stripped, blank ones included."""
@@ -433,7 +438,7 @@ class Editor:
         ended = s[-1:] in ".;,:"
         return [
             f"n={n}", f"first={first}", f"last={last}", f"first2={' '.join(rest.split()[:2])}", f"digits={min(digits, 6)}", f"letters={min(letters, 8)}",
-            f"bare={letters == 0},{ended}", f"form={self.outline(rest)}", f"ended={ended},{case is not None}", f"case={case is not None},{n}",
+            f"bare={letters == 0},{ended}", f"form={self.outline(rest[:400])}", f"ended={ended},{case is not None}", f"case={case is not None},{n}",
             f"lower={s[:1].islower()},{ended}", f"again={min(again, 3)},{ended}", f"top={min(top, 2)}", f"top={min(top, 2)},{case is not None},{':' in s}",
             f"numbered={NUMBERED.search(s) is not None},{min(again, 2)},{bool(before) and before[-1:] not in '.;:'},{after[:1].islower()}", f"long={len(s) > 90},{min(again, 2)}",
             f"broken={bool(before) and before[-1:] not in '.;:'},{ended}", f"goes={after[:1].islower()},{before[-1:] in '.;:'}", f"signs={''.join(c for c in s if c in '*–-[]:|')[:4]}", f"colon={':' in s}", f"plain={ended and s[:1].islower()}",
