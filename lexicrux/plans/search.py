@@ -45,7 +45,9 @@ def adaptive_k(spark, d):
 
 def _query_case(spark, d):
     p = _t(spark, d, "precedents")
-    r = p.where("size(vector) = dim AND dim = 64 AND forall(vector, x -> NOT isnan(x) AND abs(x) < 1e30) AND rec_no <= 20").orderBy("rec_no").select("rec_no", "vector", "articles", F.sort_array(T.crime_words(F.col("crimes"))).alias("w"), F.array_sort(F.array_distinct(T.words(F.col("title")))).alias("t")).first()
+    r = p.where("size(vector) = dim AND dim = 64 AND forall(vector, x -> NOT isnan(x) AND abs(x) < 1e30)").orderBy("rec_no").select("rec_no", "vector", "articles", F.sort_array(T.crime_words(F.col("crimes"))).alias("w"), F.array_sort(F.array_distinct(T.words(F.col("title")))).alias("t")).first()
+    if r is None:  # no case that could ask
+        return p, {"rec_no": None, "vector": [0.0] * 64, "articles": [], "crime_words": [], "title": []}
     return p, {"rec_no": r.rec_no, "vector": r.vector, "articles": [x for x in r.articles or [] if x is not None], "crime_words": r.w or [], "title": r.t}
 
 
