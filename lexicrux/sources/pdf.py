@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,6 +81,7 @@ class File:
         return out
 
     @staticmethod
+    @lru_cache(256)
     def codes(cmap: bytes) -> dict[bytes, str]:
         text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
         out = {}
