@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ FANOUT = 16
 #: Sampled vectors that a leaf is fitted on at least, and the most leaves of one dimension's tree.
 FITTED = 64
 MOST_LEAVES = 65_536
+#: Times that leaves are split again; each multiplies their number by up to SAMPLE / FITTED.
+GROWTHS = 6
 CALIBRATE = 2048
 RECALL = 0.9995
 #: Rows that are asked for, and that ask, in one task.
@@ -99,24 +102,40 @@ class Tree:
                 self.leaf[v] = self.leaves
                 self.leaves += 1
 
-    def visit(self, x: np.ndarray, most: int) -> list[list[int]]:
-        """For each row the leaves in the order best-bin-first reaches them, at most `most`."""
+    def walk(self, x: np.ndarray) -> Iterator[Iterator[int]]:
+        """For each row its leaves in the order best-bin-first reaches them, found as far as they are asked for."""
         kids, leaf, matrix = self.kids, self.leaf, self.matrix
-        if leaf[0] >= 0:
-            return [[leaf[0]]] * len(x)
-        out, first = [], kids[0]
-        for row, scores in zip(x, (x @ matrix[0].T).tolist()):
-            heap = [(-s, w) for s, w in zip(scores, first)]
+
+        def one(row: np.ndarray, scores: list[float]) -> Iterator[int]:
+            heap = [(-s, w) for s, w in zip(scores, kids[0])]
             heapq.heapify(heap)
-            got: list[int] = []
-            while heap and len(got) < most:
+            while heap:
                 _, v = heapq.heappop(heap)
                 if leaf[v] >= 0:
-                    got.append(leaf[v])
+                    yield leaf[v]
                 else:
                     for s, w in zip((matrix[v] @ row).tolist(), kids[v]):
                         heapq.heappush(heap, (-s, w))
-            out.append(got)
+
+        if leaf[0] >= 0:
+            return (iter(leaf[:1]) for _ in x)
+        return (one(row, scores) for row, scores in zip(x, (x @ matrix[0].T).tolist()))
+
+    def visit(self, x: np.ndarray, most: int) -> list[list[int]]:
+        """For each row the first `most` leaves."""
+        return [list(islice(w, most)) for w in self.walk(x)]
+
+    def places(self, x: np.ndarray, wanted: list[set[int]]) -> list[dict[int, int]]:
+        """For each row at which visit it reaches each of the leaves wanted; no row walks further than that."""
+        out = []
+        for w, leaves in zip(self.walk(x), wanted):
+            found: dict[int, int] = {}
+            for i, v in enumerate(w if leaves else ()):
+                if v in leaves:
+                    found[v] = i
+                    if len(found) == len(leaves):
+                        break
+            out.append(found)
         return out
 
 
@@ -189,7 +208,7 @@ def _part(salt: int, share) -> F.Column:
 
 def _grown(base: DataFrame, tree: Tree) -> Tree:
     """The tree with leaves of at most 2 LEAF rows, as far as vectors can be told apart and MOST_LEAVES allows."""
-    while True:
+    for _ in range(GROWTHS):
         home = _leaf_of(base, tree, 1)
         large = {r["leaf"]: r["n"] for r in bounded(home.groupBy("leaf").agg(F.count("*").alias("n")), MOST_LEAVES, "the leaves") if r["n"] > 2 * LEAF}
         room = MOST_LEAVES - tree.leaves
@@ -212,6 +231,7 @@ def _grown(base: DataFrame, tree: Tree) -> Tree:
         for leaf, branches in sorted(grown.items()):
             tree.graft(leaf, branches)
         tree._ready()
+    return tree
 
 
 def _calibrated(base: DataFrame, tree: Tree, sample: np.ndarray, ids: list, k: int, least: float, recall: float, both: bool) -> int:
@@ -224,17 +244,17 @@ def _calibrated(base: DataFrame, tree: Tree, sample: np.ndarray, ids: list, k: i
             break
     else:
         return 1
-    ways = lambda x: [{leaf: i for i, leaf in enumerate(g)} for g in tree.visit(x, tree.leaves)]
-    order = ways(q)
-    home = [min(g, key=g.get) for g in order]
-    at = []
-    for lo in range(0, len(near), SLICE):
-        part = near[lo : lo + SLICE]
-        x = matrix(pa.array([r.v for r in part], pa.list_(pa.float32())))
-        if both:
-            at += [min(order[r.q][min(g, key=g.get)], g[home[r.q]]) for r, g in zip(part, ways(x))]
-        else:
-            at += [order[r.q][g[0]] for r, g in zip(part, tree.visit(x, 1))]
+    x = matrix(pa.array([r.v for r in near], pa.list_(pa.float32())))
+    of = [g[0] for g in tree.visit(x, 1)]  # the leaf each neighbour is in
+    wanted: list[set[int]] = [set() for _ in q]
+    for r, v in zip(near, of):
+        wanted[r.q].add(v)
+    there = tree.places(q, wanted)
+    at = [there[r.q][v] for r, v in zip(near, of)]
+    if both:
+        home = [g[0] for g in tree.visit(q, 1)]
+        back = tree.places(x, [{home[r.q]} for r in near])
+        at = [min(i, g[home[r.q]]) for i, r, g in zip(at, near, back)]
     at.sort()
     return at[min(len(at) - 1, math.ceil(recall * len(at)) - 1)] + 1
 
