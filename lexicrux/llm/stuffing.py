@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ CACHE = 0.5
 SHARE = 0.65
 #: Cells of a histogram of scores, and their width.
 CELLS, WIDTH = 4000, 0.005
-PAGES = 256
+PAGES = 512
 
 # fixed values: function words of Vietnamese and English
 FUNCTION_WORDS = """
@@ -118,17 +119,22 @@ class Prose:
             return self.shape["capitals"]
         return self.name if c.isupper() else self.word
 
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Class, identity and whether it begins with a capital, of all tokens of some pages, and the first token of each page
-        (and the end of the last)."""
+        (and the end of the last). Stretches between blanks are told apart by Arrow; only different ones come to Python."""
         if len(self.cache) > 300_000:
             self.cache.clear()
-        look, rows, size = self.cache.__getitem__, [], [0]
-        for t in texts:
-            row = list(chain.from_iterable(map(look, t.replace("\n", " \n ").split(" "))))
-            rows += row
-            size.append(len(row))
-        a, page = np.array(rows, np.int64), np.cumsum(size)
+        parts = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " \n "), " ")
+        coded = parts.flatten().dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        rows = list(map(self.cache.__getitem__, coded.dictionary.to_pylist()))
+        n = np.fromiter(map(len, rows), np.int64, len(rows))
+        values = np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum()))
+        many = n[at]
+        until = np.cumsum(many)
+        a = values[np.repeat((np.cumsum(n) - n)[at] - (until - many), many) + np.arange(until[-1] if len(until) else 0)]
+        chunks = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))])
+        page = np.concatenate([[0], until])[chunks]
         cls, word, capital = (a & 0xFFFF).astype(np.int32), a >> 17, (a >> 16 & 1).astype(bool)
         at = np.arange(len(a))
         for base, most in ((self.word, WORD_RUN), (self.name, NAME_RUN)):
@@ -264,10 +270,10 @@ def frequent(pages: DataFrame) -> list[str]:
     return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
 
 
-def _blocks(col: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Pages of a batch, a few at a time: the first one's place, and the texts."""
+def _blocks(col: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Pages of a batch, some at a time: the first one's place, and the texts."""
     for lo in range(0, len(col), PAGES):
-        yield lo, col.slice(lo, PAGES).to_pylist()
+        yield lo, col.slice(lo, PAGES)
 
 
 def counted(pages: DataFrame, model: Prose) -> Prose:
