@@ -55,7 +55,7 @@ def article_block_files(spark, d):
 
 def source_backfill(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return S.backfilled(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 2 = 0"), ["o_orderkey"], ["o_orderstatus"])
+    return S.backfilled(o.where("o_orderstatus = 'F'"), o, ["o_orderkey"], ["o_orderstatus"])
 
 
 def answer_fragments(spark, d):
@@ -113,7 +113,7 @@ SQL = {
     "recognised_pages": "SELECT ocr_id, CASE WHEN coalesce(precedent_id, '') = '' THEN coalesce(engine, '') WHEN coalesce(engine, '') = '' THEN precedent_id ELSE precedent_id || chr(10) || engine END AS text, CAST(0.625 AS DOUBLE) AS mean_confidence, 1 AS skipped_pages FROM ocr_results",
     "box_order": "SELECT l_orderkey, string_agg(l_returnflag || '-' || l_linenumber, chr(10) ORDER BY round_even((l_partkey % 90) / 18.0, 0), l_suppkey * 10 + l_linenumber, l_returnflag || '-' || l_linenumber) AS text FROM lineitem GROUP BY l_orderkey",
     "article_block_files": "SELECT p_partkey % 5 AS law, CAST(p_partkey AS INTEGER) AS so_dieu, p_name AS text FROM part WHERE p_partkey > 0",
-    "source_backfill": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 'first' ELSE 'second' END AS origin FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
+    "source_backfill": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 'first' ELSE 'second' END AS origin FROM orders",
     "answer_fragments": "WITH a AS (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 280)) AS i FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(i AS INTEGER) AS ord, substr(text, i * 280 + 1, 280) AS part FROM a",
     "enriched_text": r"SELECT rec_no, substr(trim(regexp_replace(full_text, '[ \t]+', ' ', 'g'), ' '), 1, 20000) AS text FROM precedents WHERE facts_summary IS NOT NULL",
     "bucket_by_label": "WITH s AS (SELECT id, unnest(spans) AS s FROM gold_spans), f AS (SELECT id, s.label AS label, trim(s.text, ' ') AS t, min(s.start) AS p FROM s WHERE trim(s.text, ' ') <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id, label ORDER BY p) AS r FROM f) SELECT id, label, string_agg(t, '|' ORDER BY r) AS texts FROM r WHERE r <= 6 GROUP BY id, label",
