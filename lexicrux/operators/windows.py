@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -101,6 +103,24 @@ def first_decided(windows: DataFrame, key: str) -> DataFrame:
     return t.groupBy(key, "tok").agg(F.min("lo").alias("decided_by"))
 
 
+def sections_in_tokens(docs: DataFrame, key: str, text: str, sections: Column) -> DataFrame:
+    """section_ranges of each row's text and its sections, in order, with their ord: only the ranges leave the row, never tokens."""
+    kind = docs.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, t, secs in zip(*batch.columns):
+                starts, secs = [m.start() for m in TOKEN.finditer(t.as_py() or "")], secs.as_py() or []
+                cuts = [bisect_left(starts, s["start"]) for s in secs] + [len(starts)]
+                rows += [(k, i, s["name"], cuts[i], cuts[i + 1]) for i, s in enumerate(secs) if cuts[i] < cuts[i + 1]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32()))], ["k", "ord", "name", "lo", "hi"])
+
+    out = StructType([StructField("k", kind), StructField("ord", IntegerType(), False), StructField("name", StringType()), StructField("lo", IntegerType()), StructField("hi", IntegerType())])
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), sections.alias("s")).mapInArrow(run, out).withColumnRenamed("k", key)
+
+
 def section_ranges(tokens: DataFrame, sections: DataFrame, key: str) -> DataFrame:
     """key, name, lo, hi: tokens (key, tok, start) of each section (key, ord, name, start, end), a token belonging to the section
     its start lies in; sections without tokens have no row, tokens behind the last section belong to the last."""

@@ -101,8 +101,7 @@ def pattern_report(spark, d):
 
 def section_tokens(spark, d):
     """Token ranges of the sections of the annotated texts."""
-    docs = _texts(spark, d)
-    return W.section_ranges(W.tokenized(docs, "doc_id", "text"), _exploded(docs, "doc_id", S.sections(F.col("text"))), "doc_id")
+    return W.sections_in_tokens(_texts(spark, d), "doc_id", "text", S.sections(F.col("text")))
 
 
 def subword_alignment(spark, d):

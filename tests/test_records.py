@@ -12,6 +12,7 @@ from lexicrux.operators import law as L
 from lexicrux.operators import retrieval as R
 from lexicrux.operators import verdict as V
 from lexicrux.operators import windows as W
+from lexicrux.plans import catalogue
 from lexicrux.sources import files as Files
 
 
@@ -81,6 +82,19 @@ def test_windows(spark):
     assert [at(1), at(2), at(3), at(4)] == [0, 1, 3, None] and one(spark, None, lambda c: S.occurrence(c, F.lit("a"))) is None
 
 
+def test_sections_in_tokens(spark, sf):
+    docs = spark.createDataFrame([(1, "aa b. Cc"), (2, None), (3, "  "), (4, "x y")], "k INT, t STRING")
+    rows = [(1, 0, "A", 0, 3), (1, 1, "B", 3, 3), (1, 2, "C", 3, 8), (2, 0, "A", 0, 4), (3, 0, "A", 0, 2), (4, 0, "A", 2, 1), (4, 1, "B", 1, 3)]
+    secs = spark.createDataFrame(rows, "k INT, ord INT, name STRING, start INT, end INT")
+    want = W.section_ranges(W.tokenized(docs, "k", "t"), secs, "k").collect()
+    own = docs.join(secs.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "start", "end"))).alias("s")), "k", "left")
+    got = W.sections_in_tokens(own, "k", "t", F.col("s"))
+    assert sorted(map(tuple, got.select(*want[0].__fields__).collect())) == sorted(map(tuple, want)) and len(want) == 3
+    df = catalogue.QUERIES["section_tokens"](spark, sf)
+    df.collect()
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()  # a join broadcasts all tokens where texts look small
+
+
 def test_citations_of_chains_and_spans(spark):
     spans = [("d", "LEGAL_BASIS", 0, "điểm a, b khoản 1 Điều 173 Bộ luật Hình sự"), ("d", "LEGAL_BASIS", 50, "khoản 1 Điều 173 Bộ luật Hình sự"), ("d", "ARTICLE", 200, "Điều 9"), ("d", "CLAUSE", 190, "khoản 2"), ("d", "LAW_NAME", 210, "Bộ luật Dân sự"), ("e", "CRIME", 0, "x")]
     got = K.collected(spark.createDataFrame(spans, "doc STRING, label STRING, start INT, text STRING"), "doc").collect()
