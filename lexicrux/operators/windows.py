@@ -75,12 +75,27 @@ def sliding(n: Column, window: int = WINDOW, stride: int = STRIDE) -> Column:
     return F.when(n > 0, starts).otherwise(F.array().cast("array<int>"))
 
 
-def sentence_windows(tokens: Column, window: int = WINDOW, stride: int = STRIDE) -> Column:
-    """Windows that go on to the next sentence end, at most window + (window - stride) tokens, and overlap by window - stride."""
-    n, over = F.size(tokens), window - stride
+def sentence_ends(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n, ends: the tokens of a text and the places after those a sentence may end with; never more tokens than one text's at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, ends = [], []
+            for t in batch.column(1):
+                tokens = TOKEN.findall(t.as_py() or "")
+                n.append(len(tokens))
+                ends.append([i for i, x in enumerate(tokens, 1) if x in BREAKS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(ends, pa.list_(pa.int32()))], ["k", "n", "ends"])
+
+    out = StructType([StructField("k", docs.schema[key].dataType), StructField("n", IntegerType()), StructField("ends", ArrayType(IntegerType()))])
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, out).withColumnRenamed("k", key)
+
+
+def windows_to_ends(n: Column, ends: Column, window: int = WINDOW, stride: int = STRIDE) -> Column:
+    """Windows over n tokens that go on to the next sentence end, at most window + (window - stride) tokens, and overlap by window - stride."""
+    over = window - stride
     pair = lambda a, b: F.struct(a.cast("int").alias("lo"), b.cast("int").alias("hi"))
     none = F.array().cast("array<struct<lo:int,hi:int>>")
-    ends = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(*BREAKS), i + 1)), lambda x: x.isNotNull())
 
     def step(acc: Column, ends: Column) -> Column:
         lo = acc["lo"]
@@ -97,6 +112,12 @@ def sentence_windows(tokens: Column, window: int = WINDOW, stride: int = STRIDE)
     return F.when(n == 0, none).when(n <= window, F.array(pair(F.lit(0), n))).otherwise(out)
 
 
+def sentence_windows(tokens: Column, window: int = WINDOW, stride: int = STRIDE) -> Column:
+    """windows_to_ends of an array of tokens."""
+    ends = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(*BREAKS), i + 1)), lambda x: x.isNotNull())
+    return windows_to_ends(F.size(tokens), ends, window, stride)
+
+
 def first_decided(windows: DataFrame, key: str) -> DataFrame:
     """Of windows (key, lo, hi) the one that decides each token: the first that covers it."""
     t = windows.select(key, "lo", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("tok"))

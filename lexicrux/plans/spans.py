@@ -109,8 +109,8 @@ def sliding_windows(spark, d):
 
 def sentence_windows(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL")
-    toks = F.transform(W.tokens_of(F.col("text")), lambda t: t["token"])
-    return docs.select("doc_id", toks.alias("t")).select("doc_id", F.posexplode(W.sentence_windows(F.col("t"))).alias("ord", "r")).select("doc_id", "ord", "r.lo", "r.hi")
+    ends = W.sentence_ends(docs, "doc_id", "text")
+    return ends.select("doc_id", F.posexplode(W.windows_to_ends(F.col("n"), F.col("ends"))).alias("ord", "r")).select("doc_id", "ord", "r.lo", "r.hi")
 
 
 def first_decided_merge(spark, d):

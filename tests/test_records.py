@@ -95,6 +95,17 @@ def test_sections_in_tokens(spark, sf):
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()  # a join broadcasts all tokens where texts look small
 
 
+def test_sentence_ends(spark, sf):
+    texts = [None, "", " ", "Điều 1. Một; hai 1.5\n?!", "a b c. " * 150, "a " * 260 + ". b", "x. y: " * 50 + "z " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k INT, t STRING")
+    got = {r.k: r for r in W.sentence_ends(docs, "k", "t").withColumn("w", W.windows_to_ends(F.col("n"), F.col("ends"))).collect()}
+    assert (got[0].n, got[0].ends, got[0].w) == (0, [], []) and (got[3].n, got[3].ends) == (11, [3, 5, 8, 10, 11])
+    for r in docs.select("k", W.tokens_of("t").alias("t")).withColumn("w", W.sentence_windows(F.transform("t", lambda x: x["token"]))).collect():
+        assert (got[r.k].n, got[r.k].w) == (len(r.t), r.w)
+    plan = catalogue.QUERIES["sentence_windows"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "tokens_of" not in plan  # 10,000 texts' tokens would be held at once
+
+
 def test_citations_of_chains_and_spans(spark):
     spans = [("d", "LEGAL_BASIS", 0, "điểm a, b khoản 1 Điều 173 Bộ luật Hình sự"), ("d", "LEGAL_BASIS", 50, "khoản 1 Điều 173 Bộ luật Hình sự"), ("d", "ARTICLE", 200, "Điều 9"), ("d", "CLAUSE", 190, "khoản 2"), ("d", "LAW_NAME", 210, "Bộ luật Dân sự"), ("e", "CRIME", 0, "x")]
     got = K.collected(spark.createDataFrame(spans, "doc STRING, label STRING, start INT, text STRING"), "doc").collect()
