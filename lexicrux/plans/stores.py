@@ -20,7 +20,7 @@ from lexicrux.plans.records import _KINDS
 from lexicrux.sources import files as Files
 from lexicrux.sources import pdf as P
 from lexicrux.staging import shared_dir
-from lexicrux.streaming.jobs import ingest, job_states
+from lexicrux.streaming.jobs import ingest, log_states
 
 
 def _t(spark, d, name):
@@ -169,12 +169,7 @@ def streamed_jobs(spark, d):
     at = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
     o = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.explode(F.array(F.struct(F.lit("queued").alias("status"), F.lit(0).cast("bigint").alias("seq")), F.struct(F.lit("running").alias("status"), F.lit(1).cast("bigint").alias("seq")), F.struct(F.lit("running").alias("status"), F.lit(1).cast("bigint").alias("seq")), F.struct(F.when(F.col("o_orderstatus") == "F", "error").otherwise("done").alias("status"), F.lit(2).cast("bigint").alias("seq")))).alias("s")).select("job_id", "s.*")
     o.write.parquet(f"{at}/in")
-    states = job_states(spark.readStream.schema("job_id STRING, status STRING, seq BIGINT").parquet(f"{at}/in"))
-
-    def put(batch, no: int) -> None:
-        batch.withColumn("batch", F.lit(no)).write.mode("append").parquet(f"{at}/out")
-
-    states.writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    log_states(spark.readStream.schema("job_id STRING, status STRING, seq BIGINT").parquet(f"{at}/in"), f"{at}/out", f"{at}/checkpoint")
     last = spark.read.parquet(f"{at}/out").groupBy("job_id").agg(F.max_by("status", "seq").alias("status"), F.max("events").alias("events"))
     return last.groupBy("status", "events").agg(F.count("*").alias("jobs"))
 

@@ -1,5 +1,7 @@
 """Operators of records, statutes, windows, fusion and verdicts on small built cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from lexicrux.functions import cases as C
@@ -14,6 +16,7 @@ from lexicrux.operators import verdict as V
 from lexicrux.operators import windows as W
 from lexicrux.plans import catalogue
 from lexicrux.sources import files as Files
+from lexicrux.streaming import jobs as stream
 
 
 def one(spark, value, f, kind="string"):
@@ -106,6 +109,32 @@ def test_sentence_ends(spark, sf):
     assert "tokens_of" not in plan  # 10,000 texts' tokens would be held at once
 
 
+def test_log_of_job_states(spark, tmp_path, monkeypatch):
+    """The same states as the stateful operator's, over several batches, late and repeated steps, without it."""
+    rng = random.Random(5)
+    src, out, kept = (str(tmp_path / x) for x in ("src", "out", "kept"))
+    kind, jobs = "job_id STRING, status STRING, seq BIGINT", ["a", "b", "c", "d", "e", None]
+    seqs = {}
+    for _ in range(4):
+        rows = [(rng.choice(jobs), rng.choice(["queued", "running", "done", "error", "other", None]), rng.choice([*range(12), None])) for _ in range(30)]
+        rows = list({(j, n): (j, s, n) for j, s, n in rows}.values())  # of steps with one number, the order they come in would count
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+        stream.log_states(spark.readStream.schema(kind).parquet(src), out, str(tmp_path / "chk"))
+        q = stream.job_states(spark.readStream.schema(kind).parquet(src)).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "chk2")).trigger(availableNow=True).foreachBatch(lambda b, n: b.write.mode("append").parquet(kept)).start()
+        q.awaitTermination()
+        got, want = (sorted((str(r.job_id), r.status, r.seq, r.events) for r in spark.read.parquet(x).collect()) for x in (out, kept))
+        seqs[len(got)] = 1
+        assert got == want
+    assert len(got) > 6 and len(seqs) > 1
+
+    def refused(*_):
+        raise AssertionError("a Python call for each job")
+
+    monkeypatch.setattr(stream, "advance", refused)
+    spark.range(300).select(F.col("id").alias("o_orderkey"), F.when(F.col("id") % 3 == 0, "F").otherwise("O").alias("o_orderstatus")).write.parquet(f"{tmp_path}/d/orders.parquet")
+    assert {tuple(r) for r in catalogue.QUERIES["streamed_jobs"](spark, f"{tmp_path}/d").collect()} == {("error", 3, 100), ("done", 3, 200)}
+
+
 def test_citations_of_chains_and_spans(spark):
     spans = [("d", "LEGAL_BASIS", 0, "điểm a, b khoản 1 Điều 173 Bộ luật Hình sự"), ("d", "LEGAL_BASIS", 50, "khoản 1 Điều 173 Bộ luật Hình sự"), ("d", "ARTICLE", 200, "Điều 9"), ("d", "CLAUSE", 190, "khoản 2"), ("d", "LAW_NAME", 210, "Bộ luật Dân sự"), ("e", "CRIME", 0, "x")]
     got = K.collected(spark.createDataFrame(spans, "doc STRING, label STRING, start INT, text STRING"), "doc").collect()
